@@ -40,8 +40,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of what ``df`` holds; costs no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    """The optimizer's estimate of what ``df`` holds, 0 where it has none; costs no job."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
 
 
 class WordHashes(dict):

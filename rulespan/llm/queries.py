@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulespan.llm import decontamination, html_extract, knn_join, quality, source_mixing, token_counts, warc
+from rulespan.llm import decontamination, html_extract, jaccard_join, knn_join, quality, source_mixing, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_join.knn_join(rows.where(F.col("id") % 50 == 0), rows, 5)
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), width=4, num=85, den=100)
+
+
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"), ["page_id", "url"])
 
@@ -78,7 +82,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_knn_join, op3_html_extract, op4_token_counts, op6_source_mixing, op7_warc_derivatives, op9_decontamination, op10_quality,
+    op1_knn_join, op2_jaccard_join, op3_html_extract, op4_token_counts, op6_source_mixing, op7_warc_derivatives, op9_decontamination, op10_quality,
 )}
 
 SQL: dict[str, str] = {

@@ -316,20 +316,22 @@ def _solved_in_blocks(members: DataFrame, blocks: DataFrame, num: int, den: int)
     order = Window.partitionBy("region").orderBy(F.xxhash64("sid", F.lit(1)), "sid")
     pivots = members.withColumn("i", F.row_number().over(order)).where(F.col("i") <= BLOCK_PIVOTS)
     everywhere = lambda df: df.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    unpack = lambda t: [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+    # the second side of a cogroup gets columns of its own: both come from the same rows
+    other = lambda df: df.toDF(*(f"o_{c}" for c in df.columns))
+    unpack = lambda t, name="shingles": [np.frombuffer(x, np.uint64) for x in t.column(name).to_pylist()]
 
     def meet(block: pa.Table, chosen: pa.Table) -> pa.Table:
-        ids, pivot_ids, sets = block.column("sid").to_pylist(), chosen.column("sid").to_pylist(), unpack(block)
+        ids, pivot_ids, sets = block.column("sid").to_pylist(), chosen.column("o_sid").to_pylist(), unpack(block)
         sizes, starts = np.array([len(s) for s in sets]), np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
         flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         out: list[tuple] = []
-        for p, s in zip(pivot_ids, unpack(chosen), strict=True):
+        for p, s in zip(pivot_ids, unpack(chosen, "o_shingles"), strict=True):
             inter = _intersections(s, flat, starts)
             out += [(p, ids[i]) for i in np.flatnonzero(den * inter >= num * (len(s) + sizes - inter)).tolist()]
         region = block.column("region")[0].as_py() if ids else 0
         return pa.table([pa.array([region] * len(out), pa.int64()), *(pa.array([x[k] for x in out], pa.int64()) for k in (0, 1))], names=["region", "a", "b"])
 
-    met = cut(members.groupBy("region", "block").cogroup(everywhere(pivots).groupBy("region", "block")).applyInArrow(meet, "region long, a long, b long"))
+    met = cut(members.groupBy("region", "block").cogroup(other(everywhere(pivots)).groupBy("o_region", "o_block")).applyInArrow(meet, "region long, a long, b long"))
     labels = components(met.select("a", "b"))
     # in each region the component with most members is settled; the others' members and the unlinked ones meet all
     known = members.select("region", "sid").join(labels.withColumnRenamed("node", "sid"), "sid", "left")
@@ -339,13 +341,13 @@ def _solved_in_blocks(members: DataFrame, blocks: DataFrame, num: int, den: int)
     loose = members.join(loose.distinct(), ["region", "sid"], "left_semi").withColumn("own", F.col("block"))
 
     def cross(few: pa.Table, block: pa.Table) -> pa.Table:
-        ids = few.column("sid").to_pylist() + block.column("sid").to_pylist()
-        links = local_links([*unpack(few), *unpack(block)], num, den, only=few.num_rows)
+        ids = few.column("sid").to_pylist() + block.column("o_sid").to_pylist()
+        links = local_links([*unpack(few), *unpack(block, "o_shingles")], num, den, only=few.num_rows)
         return pa.table([pa.array([ids[x[k]] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     spread = everywhere(loose).groupBy("region", "own", "block")
     against = everywhere(members.withColumn("other", F.col("block"))).select("region", F.col("block").alias("own"), F.col("other").alias("block"), "sid", "shingles")
-    found = spread.cogroup(against.groupBy("region", "own", "block")).applyInArrow(cross, "a long, b long")
+    found = spread.cogroup(other(against).groupBy("o_region", "o_own", "o_block")).applyInArrow(cross, "a long, b long")
     return met.select("a", "b").unionByName(found)
 
 

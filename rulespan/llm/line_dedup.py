@@ -1 +1,88 @@
+"""Line dedup with a log-template tree, in DataFrame operations only.
 
+A line goes down a tree of fixed depth: its number of tokens, then its leading tokens, tokens with
+a digit being variable fields. In a leaf, the tokens that many documents have at a place are
+constants of the template and all others are wildcards. Templates that recur across documents
+are boilerplate: of their lines the first stays and the others are dropped.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from rulespan.llm.common import cut
+
+#: Documents in which a template, and each of its constants, must occur.
+MIN_DOCS = 10
+#: Leading tokens on the way to a leaf; shorter lines than ``MIN_TOKENS`` are never templates.
+DEPTH, MIN_TOKENS = 2, 5
+#: The least share of constants among a template's tokens, in percent.
+CONSTANT_PERCENT = 80
+#: Up to so many leaves (16 bytes each) are sent to all tasks; more are joined by a shuffle.
+BROADCAST_LEAVES = 100_000
+
+#: White space is ASCII's. Only a token's start is tried, so long tokens take linear time.
+_SPACE = r"[\x20\x09-\x0D]+"
+_VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+
+
+def masked_tokens(line: Column) -> Column:
+    """The line's tokens, those with a digit as ``<*>``."""
+    return F.filter(F.split(F.regexp_replace(line, _VARIABLE, "<*>"), _SPACE), lambda t: t != "")
+
+
+def _lines(docs: DataFrame, min_tokens: int, depth: int) -> DataFrame:
+    """(doc, line, tokens, leaf) of each line that may be a template's; leaf is a hash of the path."""
+    lines = docs.select(F.col("__doc"), F.posexplode(F.split("__text", "\n")).alias("__line", "__raw"))
+    # a line of so many tokens has twice as many characters less one
+    lines = lines.where(F.length("__raw") >= 2 * min_tokens - 1).withColumn("__tokens", masked_tokens(F.col("__raw")))
+    lines = lines.where(F.size("__tokens") >= max(min_tokens, depth))
+    path = [F.size("__tokens"), *(F.get("__tokens", F.lit(i)) for i in range(depth))]
+    return lines.select("__doc", "__line", "__tokens", F.xxhash64(*path).alias("__leaf"))
+
+
+def recurring_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, depth: int = DEPTH,
+                    min_tokens: int = MIN_TOKENS, constant_percent: int = CONSTANT_PERCENT) -> DataFrame:
+    """(__doc, __line): every line, counted from 0, of a recurring template but for the template's first one.
+
+    First is the smallest (document id, line); a null id is the smallest. Rows with equal ids are
+    one document.
+    """
+    source = docs.select(F.col(doc_id).alias("__doc"), F.col(text).cast("string").alias("__text")).where("__text is not null")
+    lines = _lines(source, min_tokens, depth)
+    leaves = cut(lines.groupBy("__leaf").agg(F.count("*").alias("__n")).where(F.col("__n") >= min_docs).select(F.col("__leaf").alias("__kept_leaf")))
+    few = leaves.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
+    # the few lines of well-filled leaves; written, as they are read several times
+    lines = cut(lines.join(F.broadcast(leaves) if few else leaves, F.col("__leaf") == F.col("__kept_leaf"), "left_semi"))
+    tokens = lines.select("__doc", "__line", "__leaf", F.size("__tokens").alias("__size"), F.posexplode("__tokens").alias("__place", "__token"))
+    place = ["__leaf", "__place", "__token"]
+    constants = tokens.groupBy(*place, "__doc").agg(F.first(F.lit(1)).alias("__one")).groupBy(*place).agg(F.count("*").alias("__docs"))
+    constants = constants.where(F.col("__docs") >= min_docs).select(*place)
+    # inner: a line's wildcards are gone, its constants make the template
+    fixed = tokens.join(constants, place)
+    made = fixed.groupBy("__doc", "__line", "__leaf", "__size").agg(F.sort_array(F.collect_list(F.struct("__place", "__token"))).alias("__fixed"))
+    made = made.where(F.size("__fixed") * 100 >= F.col("__size") * constant_percent)
+    made = cut(made.select("__doc", "__line", F.xxhash64("__leaf", "__size", "__fixed").alias("__template")))
+    by_doc = made.groupBy("__template", "__doc").agg(F.min("__line").alias("__line"))
+    spread = by_doc.groupBy("__template").agg(F.count("*").alias("__docs"), F.min(F.struct("__doc", "__line")).alias("__first")).where(F.col("__docs") >= min_docs)
+    spread = spread.select("__template", F.col("__first.__doc").alias("__first_doc"), F.col("__first.__line").alias("__first_line"))
+    out = made.join(spread, "__template")
+    return out.where(~(F.col("__doc").eqNullSafe(F.col("__first_doc")) & (F.col("__line") == F.col("__first_line")))).select("__doc", "__line").distinct()
+
+
+def drop_recurring_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with its recurring lines dropped from ``text``, and with ``n_lines int`` and ``n_dropped int``.
+
+    A line ends with a line feed. A null text stays null and has 0 lines, an empty text has one.
+    Lines are dropped whole, whatever their length; documents all of whose lines go have the text
+    ``''``. Repeated rows lose the same lines. Names that start with ``__`` are this operator's own.
+    """
+    dropped = recurring_lines(docs, doc_id=doc_id, text=text, **options)
+    dropped = dropped.groupBy("__doc").agg(F.collect_list("__line").alias("__dropped"))
+    out = docs.join(dropped, docs[doc_id].eqNullSafe(F.col("__doc")), "left").drop("__doc")
+    lines = F.split(F.col(text).cast("string"), "\n")
+    gone = F.coalesce("__dropped", F.array().cast("array<int>"))
+    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone, i)), "\n")
+    out = out.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))).withColumn("n_dropped", F.size(gone))
+    return out.withColumn(text, F.when(F.col("__dropped").isNull(), F.col(text)).otherwise(kept)).drop("__dropped")

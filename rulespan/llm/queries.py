@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulespan.llm import decontamination, html_extract, jaccard_join, knn_join, quality, source_mixing, token_counts, warc
+from rulespan.llm import decontamination, html_extract, jaccard_join, knn_join, line_dedup, quality, source_mixing, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,11 @@ def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(records, ["page_id"]).drop("record", "source_headers")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_recurring_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -82,10 +87,29 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_knn_join, op2_jaccard_join, op3_html_extract, op4_token_counts, op6_source_mixing, op7_warc_derivatives, op9_decontamination, op10_quality,
+    op1_knn_join, op2_jaccard_join, op3_html_extract, op4_token_counts, op6_source_mixing, op7_warc_derivatives, op8_line_dedup, op9_decontamination, op10_quality,
 )}
 
 SQL: dict[str, str] = {
+    "op8_line_dedup": r"""
+        WITH lines AS (
+          SELECT doc_id, line - 1 AS line, raw,
+                 list_filter(string_split_regex(regexp_replace(raw, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+'), lambda t: t <> '') AS tokens
+          FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)),
+        kept AS (SELECT *, len(tokens) AS size, tokens[1] AS a, tokens[2] AS b FROM lines WHERE len(tokens) >= 5),
+        tokens AS (SELECT doc_id, line, size, a, b, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM kept),
+        constants AS (SELECT size, a, b, place, token FROM tokens GROUP BY ALL HAVING count(DISTINCT doc_id) >= 10),
+        made AS (
+          SELECT t.doc_id, t.line, t.size, t.a, t.b, list(t.place || ' ' || t.token ORDER BY t.place) AS fixed
+          FROM tokens t JOIN constants c ON t.size = c.size AND t.a = c.a AND t.b = c.b AND t.place = c.place AND t.token = c.token
+          GROUP BY ALL HAVING count(*) * 100 >= t.size * 80),
+        spread AS (SELECT size, a, b, fixed, min((doc_id, line)) AS first FROM made GROUP BY ALL HAVING count(DISTINCT doc_id) >= 10),
+        gone AS (SELECT m.doc_id, m.line FROM made m JOIN spread s ON m.size = s.size AND m.a = s.a AND m.b = s.b AND m.fixed = s.fixed WHERE (m.doc_id, m.line) <> s.first),
+        texts AS (
+          SELECT l.doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(g.line) AS INTEGER) AS n_dropped,
+                 coalesce(string_agg(l.raw, chr(10) ORDER BY l.line) FILTER (WHERE g.line IS NULL), '') AS text
+          FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line = g.line GROUP BY l.doc_id)
+        SELECT doc_id, n_lines, n_dropped, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5 FROM texts""",
     "op1_knn_join": """
         WITH v AS (
           SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings

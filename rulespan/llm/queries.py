@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulespan.llm import decontamination, html_extract, jaccard_join, knn_join, line_dedup, quality, source_mixing, token_counts, warc
+from rulespan.llm import decontamination, html_extract, jaccard_join, knn_join, line_dedup, quality, secret_scan, source_mixing, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", "place", F.md5("core").alias("core_md5"), F.length("core").alias("n_chars"), "vote", "is_secret")
+
+
 #: Target shares by language and topic; sources are tempered.
 LANGUAGES = {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}
 TOPICS = {"tabular": 0.1, "brief": 0.2, "article": 0.4, "long": 0.3}
@@ -87,10 +92,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_knn_join, op2_jaccard_join, op3_html_extract, op4_token_counts, op6_source_mixing, op7_warc_derivatives, op8_line_dedup, op9_decontamination, op10_quality,
+    op1_knn_join, op2_jaccard_join, op3_html_extract, op4_token_counts, op5_secret_scan, op6_source_mixing, op7_warc_derivatives, op8_line_dedup, op9_decontamination, op10_quality,
 )}
 
 SQL: dict[str, str] = {
+    "op5_secret_scan": secret_scan.duckdb_sql(),
     "op8_line_dedup": r"""
         WITH lines AS (
           SELECT doc_id, line - 1 AS line, raw,

@@ -111,6 +111,19 @@ def overlaps(flat: np.ndarray, starts: np.ndarray, index: dict, masks: tuple[str
         yield text, number, hits[text, number], -start, length, same
 
 
+def _indexes(benchmark: DataFrame, item_id: str, item_text: str, masks: tuple[str, ...], part_bytes: int) -> list:
+    """Broadcast indexes of the benchmark's parts, each of at most about ``part_bytes`` of text."""
+    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(1, -(-int(total) // part_bytes))
+    out = []
+    for part in range(parts):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) if parts > 1 else items
+        texts = sorted(((r.item_id, r.text.encode()) for r in rows.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        out.append(benchmark.sparkSession.sparkContext.broadcast(index_items(texts, masks)))
+    return out
+
+
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
                   item_text: str = "text", masks: tuple[str, ...] = MASKS, min_tokens: int = MIN_TOKENS,
                   min_share: float = MIN_SHARE, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -126,16 +139,10 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
     count; other columns are ignored, whatever their names. Items of fewer tokens than the shortest
     mask can't be hit.
     """
-    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(1, -(-int(total) // part_bytes))
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).where("text is not null")
     id_type = own.schema["doc_id"].dataType.simpleString()
     out = None
-    for part in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) if parts > 1 else items
-        index = docs.sparkSession.sparkContext.broadcast(
-            index_items(sorted(((r.item_id, r.text.encode()) for r in rows.collect()), key=lambda x: (x[0] is None, x)), masks))
+    for index in _indexes(benchmark, item_id, item_text, masks, part_bytes):
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             known, table = WordHashes(), index.value
@@ -155,8 +162,23 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that overlap with a benchmark item; null ids are kept."""
-    key = options.get("doc_id", "doc_id")
-    leaked = find_overlaps(docs, benchmark, **options).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(leaked, docs[key] == leaked["__leaked"], "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS,
+                  min_tokens: int = MIN_TOKENS, min_share: float = MIN_SHARE, part_bytes: int = PART_BYTES) -> DataFrame:
+    """``docs``, all columns, without the rows that ``find_overlaps`` has an item for; one pass for each
+    part of the benchmark, without a shuffle."""
+    schema = docs.schema
+    at = schema.names.index(text)
+    for index in _indexes(benchmark, item_id, item_text, masks, part_bytes):
+
+        def keep(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            known, table = WordHashes(), index.value
+            for batch in batches:
+                named = batch.rename_columns([f"c{i}" for i in range(batch.num_columns)])
+                for chunk in chunks(named, f"c{at}"):
+                    flat, starts = hashed_words(byte_values(chunk.column(at)), known)
+                    leaked = {x[0] for x in overlaps(flat, starts, table, masks, min_tokens, min_share)}
+                    rows = [i for i in range(chunk.num_rows) if i not in leaked]
+                    yield pa.RecordBatch.from_arrays(chunk.take(pa.array(rows, pa.int64())).columns, schema=batch.schema)
+
+        docs = docs.mapInArrow(keep, schema)
+    return docs

@@ -351,6 +351,18 @@ def _solved_in_blocks(members: DataFrame, blocks: DataFrame, num: int, den: int)
     return met.select("a", "b").unionByName(found)
 
 
+def _joined(regions: DataFrame, sets: DataFrame, region_members: int, region_shingles: int) -> DataFrame:
+    """Regions that share members are one, unless they are too much for one task together: a set is
+    then read by one task only."""
+    first = regions.groupBy("region").agg(F.min("sid").alias("first"))
+    roots = components(regions.join(first, "region").select(F.col("sid").alias("a"), F.col("first").alias("b")))
+    roots = roots.withColumnRenamed("node", "sid")
+    size = roots.join(sets.select("sid", "n"), "sid").groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    size = size.where((F.col("members") <= region_members) & (F.col("shingles") <= region_shingles)).select("root", F.lit(True).alias("fits"))
+    named = regions.join(roots, "sid").join(size, "root", "left")
+    return cut(named.select(F.when(F.col("fits"), F.col("root")).otherwise(F.col("region")).alias("region"), "sid").distinct())
+
+
 def jaccard_components(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text",
                        region_members: int = REGION_MEMBERS, region_shingles: int = REGION_SHINGLES) -> DataFrame:
     """(doc_id, n_shingles long, component_id): a row for each row of ``docs``.
@@ -389,7 +401,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, num: int = 80, den: i
                 out_sid.append(own)
         return pa.table([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (out_region, out_sid)], names=["region", "sid"])
 
-    small = cut(small.groupBy("region").applyInArrow(split, "region long, sid long").distinct())
+    small = _joined(cut(small.groupBy("region").applyInArrow(split, "region long, sid long").distinct()), sets, region_members, region_shingles)
     large = cut(large)
     wanted = small.select("sid").unionByName(large.select("sid")).distinct()
     # of each wanted set one document's text is read again

@@ -209,9 +209,11 @@ def _fitted(rows: DataFrame, n_features: int, bandwidth: float, ridge: float, se
     return model
 
 
-def score(docs: DataFrame, model: dict, keys: list[str] | None = None) -> DataFrame:
-    """``keys`` (default: doc_id) and ``score`` of every row, from its whole text; null texts count as empty."""
+def score(docs: DataFrame, model: dict, keys: list[str] | None = None, *, name: str = "score") -> DataFrame:
+    """``keys`` (default: doc_id; may include text) and the score as ``name`` of every row, from its
+    whole text; null texts count as empty."""
     keys = keys or ["doc_id"]
+    columns = [*keys, *(["text"] if "text" not in keys else [])]
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some 50 KB, whatever the input
 
@@ -219,6 +221,6 @@ def score(docs: DataFrame, model: dict, keys: list[str] | None = None) -> DataFr
         for batch in batches:
             for chunk in chunks(batch, "text"):
                 stats = np.array([statistics(t) for t in byte_values(chunk.column("text"))]).reshape(-1, N_STATISTICS)
-                yield pa.RecordBatch.from_arrays([*(chunk.column(k) for k in keys), pa.array(scored(stats, shared.value), pa.float64())], names=[*keys, "score"])
+                yield pa.RecordBatch.from_arrays([*(chunk.column(k) for k in keys), pa.array(scored(stats, shared.value), pa.float64())], names=[*keys, name])
 
-    return docs.select(*keys, "text").mapInArrow(rate, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", score double")
+    return docs.select(*columns).mapInArrow(rate, ", ".join(f"`{k}` {types[k]}" for k in keys) + f", `{name}` double")

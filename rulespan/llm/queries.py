@@ -59,6 +59,38 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.round(F.col("probability") * 1_000_000).cast("long").alias("probability_ppm"), "sampled")
 
 
+def mixing_sql() -> str:
+    """The mixing query for DuckDB: a common table expression for each raking and each step of the scale."""
+    case = lambda name, shares: f"CASE {name} " + " ".join(f"WHEN '{v}' THEN {t}" for v, t in shares.items()) + " END"
+    target = {"topic": case("topic", TOPICS), "lang": case("lang", LANGUAGES), "source": "sqrt(CAST(sum(tokens) OVER (PARTITION BY source) AS DOUBLE))"}
+    steps, name, n = [], "raked0", 0
+    for _ in range(source_mixing.ROUNDS):
+        for dimension, share in target.items():
+            n += 1
+            steps.append(f"""
+        sums{n} AS (SELECT *, {share} AS target, sum(weight) OVER (PARTITION BY {dimension}) AS now, count(*) OVER (PARTITION BY {dimension}) AS n FROM {name}),
+        raked{n} AS MATERIALIZED (
+          SELECT topic, lang, source, tokens,
+                 weight * CASE WHEN target IS NOT NULL AND now > 0 THEN target / sum(target / n) OVER () * sum(weight) FILTER (target IS NOT NULL) OVER () / now ELSE 1 END AS weight FROM sums{n}),""")
+            name = f"raked{n}"
+    scales = ["scale0 AS (SELECT 0.0::DOUBLE AS scale)"]
+    for k in range(1, source_mixing.SCALE_STEPS + 2):
+        capped = "scale > 0 AND scale * weight >= tokens"
+        scales.append(f"""scale{k} AS MATERIALIZED (
+          SELECT coalesce(({source_mixing.KEEP} * sum(tokens) - coalesce(sum(tokens) FILTER ({capped}), 0)) / sum(weight) FILTER (NOT ({capped})), any_value(scale)) AS scale FROM {name}, scale{k - 1})""")
+    return rf"""
+        WITH docs AS (
+          SELECT *, CASE WHEN contains(text, ' | ') THEN 'tabular' WHEN n_tokens < 100 THEN 'brief' WHEN n_tokens < 600 THEN 'article' ELSE 'long' END AS topic
+          FROM (SELECT doc_id, source, lang, text, CAST(len(regexp_extract_all(text, '[^ 	-
+]+')) AS BIGINT) AS n_tokens FROM documents)),
+        raked0 AS (SELECT topic, lang, source, sum(n_tokens) AS tokens, CAST(sum(n_tokens) AS DOUBLE) AS weight FROM docs GROUP BY ALL),{''.join(steps)}
+        {', '.join(scales)},
+        shares AS (SELECT topic, lang, source, CASE WHEN tokens > 0 THEN least(1.0, scale * weight / tokens) ELSE 0 END AS p FROM {name}, scale{source_mixing.SCALE_STEPS + 1})
+        SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, CAST(round(p * 1000000) AS BIGINT) AS probability_ppm,
+               CAST('0x' || substr(md5(CAST(d.doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < p AS sampled
+        FROM docs d JOIN shares s ON d.topic = s.topic AND d.lang = s.lang AND d.source = s.source"""
+
+
 def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.responses(_table(spark, sf_dir, "pages"), "page_id")
     return warc.derive(records, ["page_id"]).drop("record", "source_headers")
@@ -81,9 +113,9 @@ def held_out(key) -> F.Column:
 QUALITY_CUT = 0.3
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, keys: list[str] | None = None, name: str = "score") -> DataFrame:
     usable = labels.where(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("label"))
-    return quality.score(docs, quality.fit(docs, usable), keys)
+    return quality.score(docs, quality.fit(docs, usable), keys, name=name)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 )}
 
 SQL: dict[str, str] = {
+    "op6_source_mixing": mixing_sql(),
     "op5_secret_scan": secret_scan.duckdb_sql(),
     "op8_line_dedup": r"""
         WITH lines AS (

@@ -121,12 +121,13 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping], *, key: str, tokens: st
     expectation, as far as the cells have enough tokens; a cell that hasn't is kept whole.
 
     Null dimensions are values of their own; null token counts count as 0; documents of a cell
-    without tokens are never sampled. Equal keys fall in or out together. Other columns stay.
+    without tokens are never sampled. Equal keys fall in or out together. Other columns stay; those
+    named as the two new ones are replaced, and names that start with ``__`` are this operator's own.
     """
     dimensions = list(targets)
     cells = docs.groupBy(*dimensions).agg(F.sum(F.coalesce(F.col(tokens), F.lit(0))).alias("tokens"))
     cells, few = calibrated(cells, targets, **options)
-    cells = cells.select(*(F.col(n).alias(f"__{n}") for n in dimensions), "probability")
+    cells = cells.select(*(F.col(n).alias(f"__{n}") for n in dimensions), F.col("probability").alias("__probability"))
     on = [docs[n].eqNullSafe(F.col(f"__{n}")) for n in dimensions]
-    out = docs.join(F.broadcast(cells) if few else cells, on, "left").drop(*(f"__{n}" for n in dimensions))
-    return out.withColumn("sampled", uniform(F.col(key)) < F.col("probability"))
+    out = docs.join(F.broadcast(cells) if few else cells, on, "left").withColumn("probability", F.col("__probability"))
+    return out.drop("__probability", *(f"__{n}" for n in dimensions)).withColumn("sampled", uniform(F.col(key)) < F.col("probability"))

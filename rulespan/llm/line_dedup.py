@@ -22,22 +22,23 @@ CONSTANT_PERCENT = 80
 #: Up to so many leaves (16 bytes each) are sent to all tasks; more are joined by a shuffle.
 BROADCAST_LEAVES = 100_000
 
-#: White space is ASCII's. Only a token's start is tried, so long tokens take linear time.
-_SPACE = r"[\x20\x09-\x0D]+"
-_VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+#: A token with a digit. Only a token's start is tried, so long tokens take linear time.
+_VARIABLE = r"(?<! )[^ 0-9]*+[0-9][^ ]*+"
 
 
 def masked_tokens(line: Column) -> Column:
-    """The line's tokens, those with a digit as ``<*>``."""
-    return F.filter(F.split(F.regexp_replace(line, _VARIABLE, "<*>"), _SPACE), lambda t: t != "")
+    """The line's tokens, those with a digit as ``<*>``. White space is ASCII's."""
+    # most lines have neither digits nor white space but single blanks
+    odd = line.rlike("[\t\x0b\x0c\r0-9]|  |^ | $")
+    marked = F.regexp_replace(F.translate(line, "\t\x0b\x0c\r", "    "), _VARIABLE, "<*>")
+    return F.when(odd, F.filter(F.split(marked, " "), lambda t: t != "")).otherwise(F.split(line, " "))
 
 
 def _lines(docs: DataFrame, min_tokens: int, depth: int) -> DataFrame:
     """(doc, line, tokens, leaf) of each line that may be a template's; leaf is a hash of the path."""
-    lines = docs.select(F.col("__doc"), F.posexplode(F.split("__text", "\n")).alias("__line", "__raw"))
-    # a line of so many tokens has twice as many characters less one
-    lines = lines.where(F.length("__raw") >= 2 * min_tokens - 1).withColumn("__tokens", masked_tokens(F.col("__raw")))
-    lines = lines.where(F.size("__tokens") >= max(min_tokens, depth))
+    # a line of so many tokens has twice as many characters less one; tokens are made once, below the explosion
+    tokens = F.transform(F.split("__text", "\n"), lambda x: F.when(F.length(x) >= 2 * min_tokens - 1, masked_tokens(x)).otherwise(F.array().cast("array<string>")))
+    lines = docs.select(F.col("__doc"), F.posexplode(tokens).alias("__line", "__tokens")).where(F.size("__tokens") >= max(min_tokens, depth))
     path = [F.size("__tokens"), *(F.get("__tokens", F.lit(i)) for i in range(depth))]
     return lines.select("__doc", "__line", "__tokens", F.xxhash64(*path).alias("__leaf"))
 
@@ -47,7 +48,7 @@ def recurring_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """(__doc, __line): every line, counted from 0, of a recurring template but for the template's first one.
 
     First is the smallest (document id, line); a null id is the smallest. Rows with equal ids are
-    one document.
+    one document, whose lines may then be given several times.
     """
     source = docs.select(F.col(doc_id).alias("__doc"), F.col(text).cast("string").alias("__text")).where("__text is not null")
     lines = _lines(source, min_tokens, depth)
@@ -68,7 +69,7 @@ def recurring_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     spread = by_doc.groupBy("__template").agg(F.count("*").alias("__docs"), F.min(F.struct("__doc", "__line")).alias("__first")).where(F.col("__docs") >= min_docs)
     spread = spread.select("__template", F.col("__first.__doc").alias("__first_doc"), F.col("__first.__line").alias("__first_line"))
     out = made.join(spread, "__template")
-    return out.where(~(F.col("__doc").eqNullSafe(F.col("__first_doc")) & (F.col("__line") == F.col("__first_line")))).select("__doc", "__line").distinct()
+    return out.where(~(F.col("__doc").eqNullSafe(F.col("__first_doc")) & (F.col("__line") == F.col("__first_line")))).select("__doc", "__line")
 
 
 def drop_recurring_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -79,7 +80,7 @@ def drop_recurring_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     ``''``. Repeated rows lose the same lines. Names that start with ``__`` are this operator's own.
     """
     dropped = recurring_lines(docs, doc_id=doc_id, text=text, **options)
-    dropped = dropped.groupBy("__doc").agg(F.collect_list("__line").alias("__dropped"))
+    dropped = dropped.groupBy("__doc").agg(F.collect_set("__line").alias("__dropped"))
     out = docs.join(dropped, docs[doc_id].eqNullSafe(F.col("__doc")), "left").drop("__doc")
     lines = F.split(F.col(text).cast("string"), "\n")
     gone = F.coalesce("__dropped", F.array().cast("array<int>"))

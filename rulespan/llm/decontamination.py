@@ -61,8 +61,8 @@ def index_items(items: list[tuple[int, bytes | None]], masks: tuple[str, ...]) -
 
 def best_stretch(equal: np.ndarray, min_share: float) -> tuple[int, int]:
     """The stretch of the aligned tokens with the highest score, where an equal token scores
-    ``1 - min_share`` and another ``-min_share``: [start, end). Its share of equal tokens is
-    ``min_share`` at least."""
+    ``1 - min_share`` and another ``-min_share``: [start, end), of equally good ones the first end and the
+    longest. Its share of equal tokens is ``min_share`` at least."""
     gained = np.concatenate([[0.0], np.cumsum(np.where(equal, 1.0 - min_share, -min_share))])
     lowest = np.minimum.accumulate(gained)
     end = int(np.argmax(gained - lowest))

@@ -50,7 +50,7 @@ def _raked_frame(cells: DataFrame, dimensions: list[str], targets: Mapping[str,
     spark, out, done = cells.sparkSession, cells.withColumn("weight", F.col("tokens").cast("double")), 0
     for _ in range(rounds):
         for name in dimensions:
-            goal = spark.createDataFrame(list(targets[name].items()), f"__value {cells.schema[name].dataType.simpleString()}, __target double")
+            goal = spark.createDataFrame([(v, None if t is None else float(t)) for v, t in targets[name].items()], f"__value {cells.schema[name].dataType.simpleString()}, __target double")
             sums = out.groupBy(name).agg(F.sum("weight").alias("__now")).join(goal, F.col(name).eqNullSafe(F.col("__value")))
             sums = sums.select(F.col(name).alias("__of"), "__now", "__target")
             goals, total = sums.agg(F.sum("__target"), F.sum("__now")).first()

@@ -1,0 +1,293 @@
+"""Operators on texts and pages: brute force, round trips, held-out accuracy, and odd rows."""
+
+import gzip
+import html
+import itertools
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from rulespan.llm import decontamination, html_extract, line_dedup, quality, secret_scan, source_mixing, token_counts, warc
+
+SF = "/root/testdata/sf0.001"
+
+
+def rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+# --- 3: HTML ---
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<html><body><nav><a href=x>Home</a></nav><article><h1>Title &amp; more</h1><p>First <b>bold</b>\n line.<p>Sh.</article><footer>foot</footer>", "Title & more First bold line. Sh."),
+    ("<body><div class='sidebar'><p>Related things that are long enough to matter here</p></div><main><p>Only this.</p></main>", "Only this."),
+    ("<article><header><h1>Head</h1><p>by someone</p></header><p>Body text.</p><section id=comments><p>nice!</p></section></article>", "Head Body text."),
+    ("<div id=content><p>A long paragraph of a page without markup for articles, which goes on for a while.</p><p>Short.</p></div><div><a href=1>one</a> <a href=2>two</a></div>", "A long paragraph of a page without markup for articles, which goes on for a while. Short."),
+    ("<p>a<script>var t='</p>';</script>b<style>p{}</style><form><input><label>x</label></form>", "ab"),
+    ("", ""), (None, ""), ("<nav>only menus</nav>", ""), ("plain text  only", "plain text only"), ("<![foo[ x ]]><p>a &lt; b", "a < b"), ("<p>unclosed <b>bold<p>next &amp", "unclosed bold next &"),
+    ("<article><p>one<br>two</p><ul><li>x<li>y</ul><aside>no</aside><div role=dialog>no</div><p hidden>no</p></article>", "one two x y"),
+])
+def test_main_text(page, text):
+    assert html_extract.main_text(page) == text
+
+
+def test_extract_keeps_all_rows_and_whole_texts(spark):
+    long_page = "<article>" + "<p>word word word.</p>" * 20_000 + "</article>"
+    data = [(1, "u", long_page, "x"), (1, "u", long_page, "x"), (None, None, None, None), (2, "v", "<p>é</p>", "y")]
+    out = html_extract.extract(spark.createDataFrame(data, "page_id long, url string, html string, text string"), ["page_id", "url"])
+    got = {(r.page_id, r.n_chars) for r in out.collect()}
+    assert out.count() == 4 and got == {(1, 20_000 * 16 - 1), (None, 0), (2, 1)}
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, html string"), ["page_id"]).count() == 0
+
+
+def test_extract_of_the_tables(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    for r in html_extract.extract(pages, ["page_id", "html"]).collect():
+        inner = r.html.split("<article>")[1].split("</article>")[0].replace("<b>", "")
+        for tag in ("<h1>", "</h1>", "<p>", "</p>", "<br>"):
+            inner = inner.replace(tag, " ")
+        assert r.text == " ".join(html.unescape(inner).split())
+
+
+# --- 4: token counts ---
+
+
+def brute_tokens(word, scores, unknown):
+    best = {0: (0.0, 0)}
+    for end in range(1, len(word) + 1):
+        options = []
+        for start in range(end):
+            piece = word[start:end]
+            if piece in scores:
+                options.append((best[start][0] + scores[piece], best[start][1] + 1, start))
+            elif start == end - 1:
+                options.append((best[start][0] + unknown, best[start][1] + len(piece.encode()), start))
+        top = max(o[0] for o in options)
+        best[end] = next(o[:2] for o in options if o[0] == top)
+    return best[len(word)][1]
+
+
+def test_token_counts_equal_brute_force(spark):
+    pieces = ["▁", "a", "b", "ab", "ba", "▁ab", "aba", "bab", "▁a", "c", "abc"]
+    scores = token_counts.unigram_scores(pieces)
+    unknown = min(scores.values()) - 10
+    words = ["".join(p) for n in range(1, 6) for p in itertools.product("abx", repeat=n)] + ["é", "ab€c"]
+    texts = [(i, w) for i, w in enumerate(words)] + [(900, " ".join(words)), (901, None), (902, ""), (902, ""), (903, "a\x0bb c")]
+    want = lambda t: sum(brute_tokens("▁" + w, scores, unknown) for w in (x.decode() for x in t.encode().split()))
+    for nodes in (1000, 40):
+        out = token_counts.token_counts(spark.createDataFrame(texts, "doc_id long, text string"), ["doc_id"], pieces=pieces, max_nodes=nodes)
+        assert sorted(rows(out)) == sorted((i, len((t or "").encode().split()), want(t or "")) for i, t in texts)
+    assert token_counts.token_counts(spark.createDataFrame([], "doc_id long, text string"), ["doc_id"], pieces=pieces).count() == 0
+
+
+def test_trie_shares_prefixes():
+    trie = token_counts.PreTokenTrie(token_counts.unigram_scores(["a", "b", "ab"]))
+    assert (trie.count("abab"), len(trie.best)) == (2, 5)
+    assert (trie.count("abb"), len(trie.best)) == (2, 6) and trie.count("") == 0
+
+
+# --- 5: secrets ---
+
+
+def test_secret_features_agree_with_sql(spark):
+    found = secret_scan.example_findings(300, 5)
+    df = spark.createDataFrame([(i, *x[:4]) for i, x in enumerate(found)], "i long, core string, token string, before string, after string")
+    got = {r[0]: list(r[1:]) for r in df.select("i", *(F.expr(s).cast("int").alias(n) for n, s in secret_scan.feature_sql("spark").items())).collect()}
+    assert got == {i: secret_scan.features(*x[:4]) for i, x in enumerate(found)}
+
+
+def test_forest_tells_unseen_findings_apart():
+    forest, unseen = secret_scan.fit_forest(secret_scan.example_findings()), secret_scan.example_findings(1000, 77)
+    right = sum((sum(secret_scan.vote(t, secret_scan.features(*x[:4])) for t in forest) >= 500 * len(forest)) == bool(x[4]) for x in unseen)
+    assert right >= 970
+
+
+def test_scan_odd_rows(spark):
+    key = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
+    data = [(1, f'see token = "{key}" here', "v"), (1, f'see token = "{key}" here', "v"), (2, None, None), (3, "", ""), (None, f"commit {key.lower()}", "x"), (4, "word " * 50_000 + f"api_key={key}", "y"), (5, "x" * 100_000, "z")]
+    out = secret_scan.scan(spark.createDataFrame(data, "doc_id long, text string, core string"), ["doc_id"])
+    assert sorted(map(str, rows(out.select("doc_id", "place", "is_secret")))) == sorted(map(str, [(1, 3, True), (1, 3, True), (None, 1, False), (4, 50_000, True)]))
+    assert secret_scan.scan(spark.createDataFrame([], "doc_id long, text string"), ["doc_id"]).count() == 0
+
+
+# --- 6: mixing ---
+
+
+def test_raked_weights_meet_the_targets(spark):
+    r = random.Random(1)
+    cells = [(s, g, t, r.randint(1, 999)) for s in "ABC" for g in "xy" for t in "pq"]
+    targets = {"topic": {"p": 0.3, "q": 0.7}, "lang": {"x": 1, "y": 3}, "source": {"A": 0.2, "B": 0.2, "C": 0.6}}
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    out, few = source_mixing.calibrated(df, targets, rounds=30)
+    far, near = source_mixing.calibrated(df, targets, rounds=3, local_cells=2)[0].collect(), source_mixing.calibrated(df, targets, rounds=3)[0].collect()
+    assert few
+    total = sum(x[3] for x in cells)
+    got = out.collect()
+    for name, shares in targets.items():
+        for value, share in shares.items():
+            assert math.isclose(sum(x.weight for x in got if x[name] == value) / total, share / sum(shares.values()), rel_tol=1e-6)
+    assert math.isclose(sum(x.probability * x.tokens for x in got), 0.5 * total, rel_tol=1e-3) and all(0 <= x.probability <= 1 for x in got)
+    key = lambda x: (x.source, x.lang, x.topic)
+    for a, b in zip(sorted(far, key=key), sorted(near, key=key), strict=True):
+        assert key(a) == key(b) and math.isclose(a.weight, b.weight, rel_tol=1e-9) and math.isclose(a.probability, b.probability, rel_tol=1e-9)
+
+
+def test_mix_odd_rows(spark):
+    data = [(i, None if i % 7 == 0 else f"s{i % 3}", "en" if i % 2 else None, "t", i % 50 if i % 11 else None, 0.5) for i in range(500)] + [(1, "s1", "en", "t", 1, 0.5)]
+    df = spark.createDataFrame(data, "doc_id long, source string, lang string, topic string, n_tokens long, probability double")
+    out = source_mixing.mix(df, {"topic": {"t": 1}, "lang": {"en": 0.9}, "source": {"s0": 0.5, "s1": 0.5, "s9": 1.0}}, key="doc_id")
+    assert out.count() == 501 and out.where("sampled is null or probability is null").count() == 0 and 100 < out.where("sampled").count() < 400
+    assert source_mixing.mix(df.where("false"), {"topic": {}, "lang": {}, "source": {}}, key="doc_id").count() == 0
+
+
+# --- 7: WARC ---
+
+
+def test_records_round_trip():
+    records = [([("WARC-Type", "response"), ("X", "a:b")], b"x\r\n\r\ny"), ([("WARC-Type", "metadata")], b"")]
+    data = b"".join(warc.write_record(h, b) for h, b in records)
+    for packed in (data, gzip.compress(data[:5]) + gzip.compress(data[5:])):
+        assert [([x for x in h if x[0] != "Content-Length"], b) for h, b in warc.read_records(packed)] == records
+    with pytest.raises(ValueError):
+        list(warc.read_records(data[:-20]))
+
+
+def test_derivatives_refer_to_their_response(spark):
+    pages = spark.createDataFrame([(1, "http://a/", "<title>T</title><p>One<br>two &amp; <a href='/x'>link</a></p><script>no</script>"), (2, None, None), (2, None, None), (None, "u", "")], "page_id long, url string, html string")
+    responses = warc.responses(pages, "page_id")
+    source = {r.page_id: dict(next(warc.read_records(r.record))[0]) for r in responses.collect()}
+    out = warc.derive(responses, ["page_id"]).collect()
+    assert len(out) == 8
+    for r in out:
+        (headers, block), = warc.read_records(r.record)
+        h = dict(headers)
+        assert h["WARC-Refers-To"] == r.refers_to == source[r.page_id]["WARC-Record-ID"] and h["WARC-Target-URI"] == source[r.page_id]["WARC-Target-URI"]
+        assert h["WARC-Block-Digest"] == warc.digest(block) == r.block_digest and r.payload_digest == source[r.page_id]["WARC-Payload-Digest"] and len(block) == r.content_length
+        if r.page_id == 1 and r.record_type == "conversion":
+            assert block.decode() == "T\nOne\ntwo & link"
+        if r.page_id == 1 and r.record_type == "metadata":
+            assert b"outlink: /x\r\n" in block and b"sourceHeader-Content-Type: text/html; charset=utf-8" in block and b"title: T\r\n" in block
+    odd = spark.createDataFrame([(1, None), (2, b""), (3, b"junk"), (4, warc.write_record([("WARC-Type", "request")], b"x"))], "page_id long, record binary")
+    assert warc.derive(odd, ["page_id"]).count() == 0
+
+
+def test_chunked_and_zipped_payloads():
+    body = gzip.compress(b"<p>hi</p>")
+    block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip\r\n\r\n" + b"".join(b"%x\r\n%s\r\n" % (len(x), x) for x in (body[:7], body[7:])) + b"0\r\n\r\n"
+    assert warc.http_message(block)[2] == b"<p>hi</p>"
+
+
+# --- 8: lines ---
+
+
+def test_recurring_lines_go_but_for_the_first(spark):
+    boiler = lambda i: f"Page {i} of the printed edition was made on day {i * 7}"
+    own = lambda i: " ".join(f"{w}{chr(97 + i)}" for w in ("some", "words", "of", "its", "own"))
+    docs = [(i, f"{own(i)}\n{boiler(i)}\nThe quick name{chr(97 + i)} jumps over the lazy dog again and again\nshort") for i in range(12)]
+    docs += [(100, None), (101, ""), (102, "a\n\n b"), (102, "a\n\n b"), (None, boiler(5))]
+    df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, n_lines int")
+    out = {r.doc_id: r for r in line_dedup.drop_recurring_lines(df).collect()}
+    assert out[None].text == boiler(5), "a null id comes first"
+    assert all(out[i].text == own(i) + (f"\nThe quick name{chr(97 + i)} jumps over the lazy dog again and again" if i == 0 else "") + "\nshort" for i in range(12))
+    assert out[100].text is None and out[100].n_lines == 0 and out[101].text == "" and out[102].text == "a\n\n b" and line_dedup.drop_recurring_lines(df).count() == 17
+    assert line_dedup.drop_recurring_lines(df.where("false")).count() == 0
+    few = line_dedup.drop_recurring_lines(df, min_docs=100)
+    assert few.where("n_dropped > 0").count() == 0
+
+
+def test_one_hot_line_and_a_very_long_one(spark):
+    docs = [(i, "the very same line of words\n" * 3 + "x " * 40_000 + str(i)) for i in range(15)]
+    out = {r.doc_id: (r.n_lines, r.n_dropped) for r in line_dedup.drop_recurring_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    # the long lines differ in their number only, so they are one template
+    assert out == {0: (4, 2), **{i: (4, 4) for i in range(1, 15)}}
+
+
+# --- 9: benchmark ---
+
+
+def brute_overlap(doc, item, least=13, share=0.75):
+    """Whether some ungapped alignment has a long and mostly equal stretch."""
+    d, t = doc.lower().split(), item.lower().split()
+    for shift in range(-len(t) + 1, len(d)):
+        same = [d[shift + i] == w for i, w in enumerate(t) if 0 <= shift + i < len(d)]
+        score, best, at, length = 0.0, 0.0, 0, 0
+        for i, s in enumerate(same):
+            score += (1 - share) if s else -share
+            if score < 0:
+                score, at = 0.0, i + 1
+            elif score > best:
+                best, length = score, i + 1 - at
+        if length >= min(least, len(t)) and best > 0:
+            return True
+    return False
+
+
+def test_overlaps_equal_brute_force(spark):
+    r = random.Random(9)
+    words = lambda n, k=300: [f"w{r.randrange(k)}" for _ in range(n)]
+    items = [(i, " ".join(words(r.randint(14, 40)))) for i in range(15)] + [(50, None), (51, ""), (52, "tiny item"), (53, "a b c d e f g h")]
+    docs = []
+    for i in range(150):
+        text = words(60)
+        if i % 3 == 0:
+            leak = r.choice(items[:15])[1].split()
+            part = leak[: r.randint(8, len(leak))]
+            for _ in range(r.randint(0, 3)):
+                part[r.randrange(len(part))] = "CHANGED"
+            at = r.randrange(60)
+            text[at:at] = part
+        docs.append((i, " ".join(text)))
+    docs += [(200, None), (201, ""), (202, "x A B c d E f g H y"), (202, "x A B c d E f g H y"), (None, items[0][1]), (203, "no " * 60_000 + items[1][1])]
+    df = spark.createDataFrame([(*d, 5) for d in docs], "doc_id long, text string, item_id int")
+    bench = spark.createDataFrame([(*i, "z") for i in items], "item_id long, text string, doc_id string")
+    out = decontamination.find_overlaps(df, bench).collect()
+    got = {(r.doc_id, r.item_id) for r in out}
+    want = {(d, i) for d, t in docs for i, u in items if t and u and brute_overlap(t, u)}
+    missed = want - got
+    assert got <= want
+    # an overlap must hold six equal tokens at one of the masks' places to be hit
+    for d, i in missed:
+        a, b = dict(docs)[d].lower().split(), dict(items)[i].lower().split()
+        assert not any(all(m[k] == "0" or a[x + k] == b[y + k] for k in range(len(m))) for m in decontamination.MASKS for x in range(len(a) - len(m) + 1) for y in range(len(b) - len(m) + 1))
+    assert (None, 0) in got and (202, 53) in got and (203, 1) in got and sum(r.doc_id == 202 for r in out) == 2
+    clean = decontamination.decontaminate(df, bench)
+    assert clean.columns == df.columns and {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in got}
+    parts = decontamination.find_overlaps(df, bench, part_bytes=500)
+    assert {(r.doc_id, r.item_id) for r in parts.collect()} == got
+    assert decontamination.find_overlaps(df, bench.where("false")).count() == 0 and decontamination.find_overlaps(df.where("false"), bench).count() == 0
+
+
+# --- 10: quality ---
+
+
+def test_isotonic_pools_violators():
+    x, y = quality.isotonic(np.array([1.0, 2.0, 2.0, 3.0, 4.0]), np.array([0, 1, 0, 0, 1.0]))
+    assert (np.diff(y) >= 0).all() and np.allclose(np.interp([1, 2, 3, 4], x, y), [0, 1 / 3, 1 / 3, 1])
+
+
+def test_quality_on_held_out_labels(spark):
+    from rulespan.llm.queries import op10_quality
+
+    sf = "/root/testdata/sf0.01"
+    out = op10_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").select("predicted", "quality").collect()
+    assert len(out) > 50 and sum(r.predicted == r.quality for r in out) >= 0.97 * len(out)
+
+
+def test_quality_odd_rows(spark):
+    docs = spark.createDataFrame([(1, "Some fine words, in a row.", 3), (2, "", 3), (3, None, 3), (4, "x" * 500_000, 3), (None, "é", 3), (1, "Some fine words, in a row.", 3)], "doc_id long, text string, score int")
+    for labels in ([], [(1, 1)], [(1, 1), (2, 0), (2, 0), (3, None), (None, 1), (99, 0)]):
+        model = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, label int"))
+        got = quality.score(docs, model).collect()
+        assert len(got) == 6 and all(0 <= r.score <= 1 for r in got)
+    assert quality.score(docs.where("false"), model).count() == 0
+
+
+def test_fit_does_not_depend_on_partitions(spark):
+    docs = spark.createDataFrame([(i, ("good words here. " if i % 2 else "%%% ### ") * (i % 9 + 1)) for i in range(200)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("label"))
+    a, b = (quality.fit(docs.repartition(n), labels) for n in (1, 40))
+    assert np.allclose(a["weights"], b["weights"], atol=1e-6)

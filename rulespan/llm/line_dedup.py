@@ -23,7 +23,7 @@ CONSTANT_PERCENT = 80
 BROADCAST_LEAVES = 100_000
 
 #: A token with a digit. Only a token's start is tried, so long tokens take linear time.
-_VARIABLE = r"(?<! )[^ 0-9]*+[0-9][^ ]*+"
+_VARIABLE = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 
 
 def masked_tokens(line: Column) -> Column:

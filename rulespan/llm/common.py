@@ -9,11 +9,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Distinct words whose hashes one Python worker keeps; then it starts afresh.
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 #: Bytes of text that a worker looks at together.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 U64 = np.uint64
 
@@ -52,6 +53,39 @@ def estimated_bytes(df: DataFrame) -> int:
     return size if size < 1 << 60 else 0
 
 
+#: A filter of keys has at most so many bits (64 MB), in segments of so many.
+FILTER_BITS, SEGMENT_BITS = 1 << 29, 1 << 19
+
+
+def key_filter(keys: DataFrame, count: int) -> tuple[np.ndarray, int]:
+    """A bitmap of the hashes in ``keys`` (h long), two of 16 bits a key while ``FILTER_BITS`` allow, and its
+    mask. What it says isn't there isn't; beyond the bound it lets more through, and stays correct."""
+    bits = SEGMENT_BITS
+    while bits < min(16 * count, FILTER_BITS):
+        bits *= 2
+
+    def segment(group: pa.Table) -> pa.Table:
+        at = group.column("h").to_numpy() & (SEGMENT_BITS - 1)
+        own = np.zeros(SEGMENT_BITS, np.uint8)
+        own[at] = 1
+        return pa.table([group.column("s").slice(0, 1), pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], names=["s", "bits"])
+
+    both = F.array(F.col("h"), F.shiftrightunsigned("h", 32))
+    parts = keys.select(F.explode(F.transform(both, lambda h: h.bitwiseAND(bits - 1))).alias("h")).select("h", F.shiftright("h", SEGMENT_BITS.bit_length() - 1).alias("s")).distinct().groupBy("s").applyInArrow(segment, "s long, bits binary").collect()
+    out = np.zeros(bits // 8, np.uint8)
+    size = SEGMENT_BITS // 8
+    for r in parts:
+        out[r.s * size : (r.s + 1) * size] = np.frombuffer(r.bits, np.uint8)
+    return out, bits - 1
+
+
+def maybe_in(hashes: np.ndarray, bitmap: np.ndarray, mask: int) -> np.ndarray:
+    out = np.ones(len(hashes), bool)
+    for at in (hashes & mask, (hashes.view(np.uint64) >> U64(32)).view(np.int64) & mask):
+        out &= (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    return out
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept for the words seen lately."""
 

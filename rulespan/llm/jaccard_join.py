@@ -7,9 +7,10 @@ random tell nothing about most of them. Pivots are therefore elected where docum
    there are parts, so they have a part in common. The document with the smallest hash among those
    with a part in common is their pivot; its Voronoi region holds all of them, boundary documents
    being replicated to each region that they may have a partner in. No link is lost.
-2. Inside a region, documents' shingle counts in 64 hash ranges are their distances to 64 fixed
-   pivots (the ranges' complements); the triangle inequality on them bounds the size of the
-   symmetric difference from below and splits the region into subregions without links between.
+2. Inside a region, documents' shingle counts in hash ranges are their distances to fixed pivots
+   (the ranges' complements); the triangle inequality on them bounds the size of the symmetric
+   difference from below and splits the region into subregions without links between. Subregions
+   that share members are joined, so that every document is in one.
 3. A subregion is solved in one task: pivot by pivot, distances to a pivot link documents or, by
    triangle-inequality windows, exclude pairs; what is connected already is not compared again.
    Regions too large for one task are first dealt over blocks that all meet the region's pivots;
@@ -30,20 +31,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rulespan.llm.common import U64, WordHashes, byte_values, chunks, cut, estimated_bytes, mixed, shingle_sets, shuffle_partitions
+from rulespan.llm.common import U64, WordHashes, byte_values, chunks, cut, estimated_bytes, key_filter, maybe_in, mixed, shingle_sets, shuffle_partitions
 
 #: Sizes of successive classes differ by this factor; each class has its own number of parts.
 CLASS_RATIO = 1.3
-#: Ranges of the sketch.
-RANGES = 64
+#: Ranges of a sketch: a power of two near a quarter of the shingles, in these bounds.
+RANGES = (64, 65536)
+#: One task compares the sketches of at most about twice so many members of a region.
+SPLIT_MEMBERS = 2500
 #: A region that one task solves has at most so many members and shingles in all.
-REGION_MEMBERS, REGION_SHINGLES = 3000, 3_000_000
+REGION_MEMBERS, REGION_SHINGLES = 1000, 1_000_000
 #: Pivots that a larger region's blocks meet first.
 BLOCK_PIVOTS = 32
 #: Keys that a task gathers before it hands them on; keys and bytes of text that a bucket is planned for.
-FLUSH_KEYS, BUCKET_TEXT = 1_000_000, 128 << 20
+FLUSH_KEYS, BUCKET_TEXT = 500_000, 64 << 20
 
-_ENTRY = np.dtype([("key", "<u4"), ("n", "<u4"), ("sid", "<u8")])
+_ENTRY = np.dtype([("key", "<u4"), ("sid", "<u8")])
 
 
 class Classes:
@@ -96,9 +99,15 @@ def part_keys(s: np.ndarray, classes: Classes) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def ranges_of(n: int) -> int:
+    return min(max(1 << max(0, (n // 3).bit_length() - 1), RANGES[0]), RANGES[1])
+
+
 def sketch(s: np.ndarray) -> np.ndarray:
-    """Shingles in each of ``RANGES`` hash ranges; differences of sketches add up to no more than the sets'."""
-    return np.minimum(np.bincount((mixed(s ^ U64(5)) >> U64(58)).astype(np.int64), minlength=RANGES), 65535).astype(np.uint16)
+    """Shingles in each of some hash ranges, up to 255; sketches differ by no more than the sets."""
+    ranges = ranges_of(len(s))
+    counts = np.bincount((mixed(s ^ U64(5)) >> U64(65 - ranges.bit_length())).astype(np.int64), minlength=ranges)
+    return np.minimum(counts, 255).astype(np.uint8)
 
 
 def _described(docs: DataFrame, width: int) -> DataFrame:
@@ -130,7 +139,7 @@ def _regions(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> D
                 bucket = (flat % U64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 entries = np.empty(len(flat), _ENTRY)
-                entries["key"], entries["n"] = flat >> U64(32), 0
+                entries["key"] = flat >> U64(32)
                 entries["sid"] = np.repeat(np.array(ids, np.uint64), [len(k) for k in keys])
                 entries = entries[order]
                 there, first = np.unique(bucket[order], return_index=True)
@@ -204,22 +213,35 @@ def root(parent: list[int], i: int) -> int:
     return i
 
 
-def possible_components(sketches: np.ndarray, sizes: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Of each member the first member of its subregion: members are joined that the sketches don't tell apart."""
+def folded(counts: np.ndarray, ranges: int) -> np.ndarray:
+    """A sketch with fewer ranges, each the sum of neighbouring ones."""
+    return counts.reshape(ranges, -1).sum(1, dtype=np.int32)
+
+
+def possible_links(sketches: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs that connect what all pairs connect that the sketches don't tell apart."""
     parent = list(range(len(sizes)))
-    counts = sketches.astype(np.int32)
-    order = np.argsort(sizes, kind="stable")
-    counts, sorted_sizes = counts[order], sizes[order]
-    for i in range(len(order)):
+    order = np.argsort(sizes, kind="stable").tolist()
+    ordered = sizes[order]
+    coarse = np.array([folded(sketches[i], RANGES[0]) for i in order]).reshape(len(order), RANGES[0])
+    links = []
+    for i, a in enumerate(order):
         # sizes' windows first: a partner is at most 1 / threshold times as large
-        end = int(np.searchsorted(sorted_sizes, sorted_sizes[i] * den // num, "right"))
+        end = int(np.searchsorted(ordered, ordered[i] * den // num, "right"))
         if end <= i + 1:
             continue
-        apart = np.abs(counts[i + 1 : end] - counts[i]).sum(1)
-        both = sorted_sizes[i + 1 : end] + sorted_sizes[i]
+        both = ordered[i + 1 : end] + ordered[i]
+        apart = np.abs(coarse[i + 1 : end] - coarse[i]).sum(1)
         for j in np.flatnonzero((both - apart) * den >= num * (both + apart)).tolist():
-            merged(parent, int(order[i]), int(order[i + 1 + j]))
-    return np.array([root(parent, i) for i in range(len(parent))])
+            b = order[i + 1 + j]
+            if root(parent, a) == root(parent, b):
+                continue
+            ranges = len(sketches[a])  # the smaller set's: partners have as many or twice as many
+            d = int(np.abs(folded(sketches[a], ranges) - folded(sketches[b], ranges)).sum()) if ranges > RANGES[0] else int(apart[j])
+            if (int(both[j]) - d) * den >= num * (int(both[j]) + d):
+                merged(parent, a, b)
+                links.append((a, b))
+    return links
 
 
 def _intersections(pivot: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -283,7 +305,8 @@ def components(edges: DataFrame) -> DataFrame:
     Labels sink along the edges and jump to their labels' labels until nothing changes; every
     round's labels are written to the checkpoint folder. Nothing of the graph reaches the driver.
     """
-    both = cut(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))).where("x <> y").distinct())
+    ways = F.inline(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y"))))
+    both = cut(edges.where("a <> b").select(ways).distinct())
     labels = cut(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("node")).alias("root")))
     while True:
         sunk = both.join(labels.select(F.col("node").alias("y"), "root"), "y").groupBy(F.col("x").alias("node")).agg(F.min("root").alias("seen"))
@@ -309,10 +332,10 @@ def _solved(members: DataFrame, num: int, den: int) -> DataFrame:
     return members.groupBy("region").applyInArrow(solve, "a long, b long")
 
 
-def _solved_in_blocks(members: DataFrame, blocks: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) of the links in regions too large for one task. ``members``: (region, sid, shingles);
-    ``blocks``: (region, n): into how many blocks a region is dealt."""
-    members = members.join(blocks, "region").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("n")))
+def _solved_in_blocks(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of the links in regions too large for one task. ``members``: (region, sid, n, shingles);
+    ``n``: into how many blocks the region is dealt."""
+    members = members.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("n")))
     order = Window.partitionBy("region").orderBy(F.xxhash64("sid", F.lit(1)), "sid")
     pivots = members.withColumn("i", F.row_number().over(order)).where(F.col("i") <= BLOCK_PIVOTS)
     everywhere = lambda df: df.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
@@ -347,24 +370,30 @@ def _solved_in_blocks(members: DataFrame, blocks: DataFrame, num: int, den: int)
 
     spread = everywhere(loose).groupBy("region", "own", "block")
     against = everywhere(members.withColumn("other", F.col("block"))).select("region", F.col("block").alias("own"), F.col("other").alias("block"), "sid", "shingles")
+    against = against.join(loose.select("region", "own").distinct(), ["region", "own"], "left_semi")
     found = spread.cogroup(other(against).groupBy("o_region", "o_own", "o_block")).applyInArrow(cross, "a long, b long")
     return met.select("a", "b").unionByName(found)
 
 
-def _joined(regions: DataFrame, sets: DataFrame, region_members: int, region_shingles: int) -> DataFrame:
-    """Regions that share members are one, unless they are too much for one task together: a set is
-    then read by one task only."""
-    first = regions.groupBy("region").agg(F.min("sid").alias("first"))
-    roots = components(regions.join(first, "region").select(F.col("sid").alias("a"), F.col("first").alias("b")))
-    roots = roots.withColumnRenamed("node", "sid")
-    size = roots.join(sets.select("sid", "n"), "sid").groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
-    size = size.where((F.col("members") <= region_members) & (F.col("shingles") <= region_shingles)).select("root", F.lit(True).alias("fits"))
-    named = regions.join(roots, "sid").join(size, "root", "left")
-    return cut(named.select(F.when(F.col("fits"), F.col("root")).otherwise(F.col("region")).alias("region"), "sid").distinct())
+def _subregions(members: DataFrame, num: int, den: int, split_members: int) -> DataFrame:
+    """(region, sid): disjoint regions of at least two members, without links between them.
+    ``members``: (region, sid, n, sketch). Larger regions are dealt into blocks, and each two blocks meet."""
+    counted = members.groupBy("region").agg(F.ceil(F.count("*") / split_members).alias("blocks"))
+    dealt = members.join(counted, "region").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid", "n", "sketch")
+
+    def link(group: pa.Table) -> pa.Table:
+        ids = group.column("sid").to_pylist()
+        links = possible_links([np.frombuffer(x, np.uint8) for x in group.column("sketch").to_pylist()], np.array(group.column("n").to_pylist(), np.int64), num, den)
+        return pa.table([pa.array([ids[x[k]] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    roots = components(dealt.groupBy("region", "i", "j").applyInArrow(link, "a long, b long"))
+    return roots.select(F.col("root").alias("region"), F.col("node").alias("sid"))
 
 
 def jaccard_components(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text",
-                       region_members: int = REGION_MEMBERS, region_shingles: int = REGION_SHINGLES) -> DataFrame:
+                       split_members: int = SPLIT_MEMBERS, region_members: int = REGION_MEMBERS, region_shingles: int = REGION_SHINGLES) -> DataFrame:
     """(doc_id, n_shingles long, component_id): a row for each row of ``docs``.
 
     A document's set has its distinct ``width``-word shingles, or with fewer words its whole
@@ -382,45 +411,34 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, num: int = 80, den: i
 
     sets = described.where("n > 0").groupBy("sid").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"))
     members = cut(regions.join(sets, "sid"))
-    sizes = members.groupBy("region").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
-    fits = (F.col("members") <= region_members) & (F.col("shingles") <= region_shingles)
-    small = members.join(sizes.where(fits).select("region"), "region", "left_semi")
-    large = members.join(sizes.where(~fits).select("region"), "region", "left_semi").select("region", "sid")
-
-    def split(group: pa.Table) -> pa.Table:
-        ids = np.array(group.column("sid").to_pylist(), np.int64)
-        order = np.argsort(ids)
-        sketches = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(-1, RANGES)[order]
-        owner = possible_components(sketches, np.array(group.column("n").to_pylist(), np.int64)[order], num, den)
-        out_region, out_sid = [], []
-        for o in np.unique(owner).tolist():
-            own = ids[order][owner == o]
-            if len(own) > 1:
-                # equal subregions of different regions get the same name, and are solved once
-                out_region.append(np.full(len(own), set_id(own.view(np.uint64)), np.uint64).view(np.int64))
-                out_sid.append(own)
-        return pa.table([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (out_region, out_sid)], names=["region", "sid"])
-
-    small = _joined(cut(small.groupBy("region").applyInArrow(split, "region long, sid long").distinct()), sets, region_members, region_shingles)
-    large = cut(large)
-    wanted = small.select("sid").unionByName(large.select("sid")).distinct()
-    # of each wanted set one document's text is read again
-    holders = described.where("n > 0").join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch in batches:
-            for chunk in chunks(batch, "text"):
-                found = shingle_sets(byte_values(chunk.column("text")), width, known)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array([set_id(s) for s in found], np.uint64).view(np.int64)), pa.array([s.tobytes() for s in found], pa.binary())], names=["sid", "shingles"])
-
-    held = texts.join(holders.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-    shingles = held.mapInArrow(shingled, "sid long, shingles binary").dropDuplicates(["sid"])
-    edges = _solved(small.join(shingles, "sid"), num, den)
-    n_large = sizes.where(~fits).limit(1).count()
-    if n_large:
-        blocks = sizes.where(~fits).select("region", F.greatest(F.ceil(F.col("members") / region_members), F.ceil(F.col("shingles") / region_shingles)).cast("long").alias("n"))
-        edges = edges.unionByName(_solved_in_blocks(cut(large.join(shingles, "sid")), blocks, num, den))
+    regions = _subregions(members, num, den, split_members)
+    sizes = regions.join(sets.select("sid", "n"), "sid").groupBy("region").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    parts = F.greatest(F.ceil(F.col("members") / region_members), F.ceil(F.col("shingles") / region_shingles)).cast("long")
+    regions = cut(regions.join(sizes.select("region", parts.alias("n")), "region"))
+
+    def with_shingles(wanted: DataFrame) -> DataFrame:
+        """``wanted`` (with sid) and the sets: one document's text of each is read again, and a filter
+        keeps most others from being cut into words."""
+        wanted_ids = wanted.select("sid").distinct()
+        holders = described.where("n > 0").join(wanted_ids, "sid", "left_semi").groupBy("sid").agg(F.min(F.xxhash64("doc_id")).alias("h")).select("h")
+        bitmap, mask = key_filter(holders, wanted_ids.count())
+        shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+        def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = WordHashes()
+            for batch in batches:
+                batch = batch.filter(pa.array(maybe_in(batch.column("h").to_numpy(), shared.value, mask)))
+                for chunk in chunks(batch, "text"):
+                    found = shingle_sets(byte_values(chunk.column("text")), width, known)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array([set_id(s) for s in found], np.uint64).view(np.int64)), pa.array([s.tobytes() for s in found], pa.binary())], names=["sid", "shingles"])
+
+        shingles = texts.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(shingled, "sid long, shingles binary").dropDuplicates(["sid"])
+        return wanted.join(shingles, "sid")
+
+    edges = _solved(with_shingles(regions.where("n = 1")), num, den)
+    large = regions.where("n > 1")
+    if not large.isEmpty():
+        edges = edges.unionByName(_solved_in_blocks(cut(with_shingles(large)), num, den))
     roots = components(edges)
     # of each component with several sets, or of each set, the smallest document
     named = described.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first")).join(roots.withColumnRenamed("node", "sid"), "sid", "left")

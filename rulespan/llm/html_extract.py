@@ -27,9 +27,12 @@ NEVER = frozenset("aside button canvas datalist dialog footer form head iframe m
 ROOTS = frozenset("article main".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Words of class names and ids of what isn't the article.
-NAMES = frozenset("ad ads adsense adslot advert advertisement advertising adverts alert banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright "
-                  "disclaimer disqus footer gdpr hidden login masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination paywall popup promo promoted "
-                  "promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+NAMES = frozenset("ad adbox ads adsense adslot advert advertisement advertising adverts alert announcement banner breadcrumb breadcrumbs byline comment commentlist comments consent cookie cookies copyright "
+                  "cta disclaimer disqus footer gdpr hidden lightbox links login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination paywall pingbacks popular popup "
+                  "promo promoted promotion recent recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tagcloud tags toc toolbar "
+                  "trackbacks trending warning widget widgets".split())
+#: Words of which a page header's name consists, besides ``header``; an article's header has others.
+HEADER_NAMES = frozenset("global header main page site top wrapper".split())
 #: A window's reach and spread in lines, the threshold in standard deviations, the most of a line that links may hold for a region to grow over it.
 REACH, SIGMA, THRESHOLD, LINK_SHARE = 2, 1.0, 1.0, 0.5
 
@@ -55,8 +58,10 @@ def _unwanted(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
             continue
         if name == "role" and value.strip().lower() in ROLES:
             return True
-        if name in ("class", "id") and tag not in ("html", "body", *ROOTS) and any(w.lower() in NAMES for w in _WORD.findall(value)):
-            return True
+        if name in ("class", "id") and tag not in ("html", "body", *ROOTS):
+            words = {w.lower() for w in _WORD.findall(value)}
+            if words & NAMES or "header" in words and words <= HEADER_NAMES:
+                return True
         if name in ("class", "id") and tag == "article" and any(w.lower() in ("comment", "comments", "reply") for w in _WORD.findall(value)):
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -73,6 +78,7 @@ class _Lines(HTMLParser):
         #: of each open element: tag, whether it or one around it is unwanted, its content root, whether it is a page or article header, its number
         self.open: list[tuple[str, bool, int, bool, int]] = []
         self.roots = self.count = 0
+        self.kinds: dict[int, str] = {}
         self.links = self.headings = 0
         self.line: _Line | None = None
 
@@ -117,8 +123,11 @@ class _Lines(HTMLParser):
         self.count += 1
         out = out or _unwanted(tag, attrs)
         if tag in ROOTS and not out:
-            self.roots += 1
-            root = self.roots
+            # a main part in an article is part of it
+            if tag == "article" or self.kinds.get(root) != "article":
+                self.roots += 1
+                root = self.roots
+                self.kinds[root] = tag
         if tag == "header":
             header = True
             out = out or not root
@@ -178,15 +187,18 @@ def main_text(html: str | None) -> str:
     lines = [x for x in parser.lines if x.chars and "".join(x.parts).strip()]
     if not lines:
         return ""
+    # a page that marks its content is taken at its word: articles, or else a main part, where they have text
+    for kind in ("article", "main"):
+        if marked := [x for x in lines if parser.kinds.get(x.root) == kind]:
+            lines = marked
+            break
     ratio = smoothed([x.chars / max(1, x.tags) for x in lines])
     mean = sum(ratio) / len(ratio)
     least = min(THRESHOLD * math.sqrt(sum((r - mean) ** 2 for r in ratio) / len(ratio)), max(ratio))
     seeds = [i for i, r in enumerate(ratio) if r >= least and lines[i].linked <= LINK_SHARE * lines[i].chars] or [max(range(len(lines)), key=ratio.__getitem__)]
-    # a page that marks its content keeps to that; the longest text decides between roots and the rest
-    inside = sum(lines[i].chars for i in seeds if lines[i].root)
-    if inside and inside >= sum(lines[i].chars for i in seeds if not lines[i].root) / 4:
+    if lines[0].root:
         roots = {lines[i].root for i in seeds}
-        chosen = {i for i, x in enumerate(lines) if x.root and x.root in roots}
+        chosen = {i for i, x in enumerate(lines) if x.root in roots}
     else:
         chosen = set(seeds)
         for step in (-1, 1):

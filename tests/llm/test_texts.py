@@ -29,6 +29,9 @@ def rows(df):
     ("<div id=content><p>A long paragraph of a page without markup for articles, which goes on for a while.</p><p>Short.</p></div><div><a href=1>one</a> <a href=2>two</a></div>", "A long paragraph of a page without markup for articles, which goes on for a while. Short."),
     ("<p>a<script>var t='</p>';</script>b<style>p{}</style><form><input><label>x</label></form>", "ab"),
     ("", ""), (None, ""), ("<nav>only menus</nav>", ""), ("plain text  only", "plain text only"), ("<![foo[ x ]]><p>a &lt; b", "a < b"), ("<p>unclosed <b>bold<p>next &amp", "unclosed bold next &"),
+    ("<div class=header>Site</div><div>a long text that no page marks as a notice, longer than the article itself is</div><main><article><h2>T</h2>Short.</article><p>aside text</p></main>", "T Short."),
+    ("<main></main><p>All there is.</p><ol class=commentlist><li>me too</ol>", "All there is."),
+    ("<article><div class='post-header'><h1>T</h1></div><p>x <a href=1>y</a></p></article><article class=comment>no</article>", "T x y"),
     ("<article><p>one<br>two</p><ul><li>x<li>y</ul><aside>no</aside><div role=dialog>no</div><p hidden>no</p></article>", "one two x y"),
 ])
 def test_main_text(page, text):

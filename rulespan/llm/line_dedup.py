@@ -67,7 +67,8 @@ def recurring_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     made = cut(made.select("__doc", "__line", F.xxhash64("__leaf", "__size", "__fixed").alias("__template")))
     by_doc = made.groupBy("__template", "__doc").agg(F.min("__line").alias("__line"))
     spread = by_doc.groupBy("__template").agg(F.count("*").alias("__docs"), F.min(F.struct("__doc", "__line")).alias("__first")).where(F.col("__docs") >= min_docs)
-    spread = spread.select("__template", F.col("__first.__doc").alias("__first_doc"), F.col("__first.__line").alias("__first_line"))
+    # written, so that the join's sides are plain shuffles, of which a hot template's can be split
+    spread = cut(spread.select("__template", F.col("__first.__doc").alias("__first_doc"), F.col("__first.__line").alias("__first_line")))
     out = made.join(spread, "__template")
     return out.where(~(F.col("__doc").eqNullSafe(F.col("__first_doc")) & (F.col("__line") == F.col("__first_line")))).select("__doc", "__line")
 

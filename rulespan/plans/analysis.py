@@ -37,7 +37,10 @@ def annotated(architecture: Architecture, facts: Facts) -> Facts:
         nodes = layers.assigned(nodes)
     if architecture.skip_paths:
         nodes = nodes.where(~skipped("file", architecture.skip_paths, facts.base_path))
-    nodes = with_ancestors(nodes)
+    if architecture.needs():
+        nodes = with_ancestors(nodes)
+    else:
+        nodes = nodes.withColumns({name: F.array().cast("array<string>") for name in ("parent_classes", "parent_interfaces")})
     anonymous = facts.anonymous if facts.anonymous is not None else _empty(facts, schemas.ANONYMOUS_CLASSES)
     references = facts.references if facts.references is not None else _empty(facts, schemas.FILE_REFERENCES)
     instantiations = facts.instantiations if facts.instantiations is not None else _empty(facts, schemas.FILE_INSTANTIATIONS)

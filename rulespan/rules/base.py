@@ -33,7 +33,9 @@ class Facts:
 
 @dataclass(frozen=True)
 class Rule:
-    """Subclasses give ``found``; ``needs`` are usage flags, ``fixable`` whether a fix is planned."""
+    """Subclasses give ``found``; ``needs`` are the usage flags that it looks at, or ``ancestors``
+    (``parent_classes`` and ``parent_interfaces``), ``fixable`` is whether a fix is planned. What no active
+    rule needs isn't computed."""
 
     needs = frozenset()
     fixable = False

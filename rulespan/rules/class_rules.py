@@ -32,6 +32,7 @@ class ClassImplementingInterfaceMustHaveSuffix(Rule):
     layer: str
     interface: str
     suffix: str
+    needs = frozenset({"ancestors"})
 
     def found(self, facts: Facts) -> DataFrame:
         rows = facts.nodes.where(P.is_class() & P.in_layer(self.layer) & P.implements_interface(self.interface) & ~short_name().endswith(self.suffix))
@@ -95,6 +96,7 @@ class MaxDependencyCount(Rule):
 class MayNotImplementInterface(Rule):
     layer: str
     interface: str
+    needs = frozenset({"ancestors"})
 
     def found(self, facts: Facts) -> DataFrame:
         return report(facts.nodes.where(P.in_layer(self.layer) & P.implements_interface(self.interface)), said("Class [%s] must not implement interface [%s]", NAME("class_name"), self.interface))
@@ -226,6 +228,7 @@ class MustImplementInterface(Rule):
     layer: str
     interface: str
     pattern: str | None = None
+    needs = frozenset({"ancestors"})
 
     def found(self, facts: Facts) -> DataFrame:
         rows = facts.nodes.where(P.is_class() & P.in_layer(self.layer) & P.name_matches(self.pattern) & ~P.implements_interface(self.interface))

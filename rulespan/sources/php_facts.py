@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from rulespan import schemas
 from rulespan.operators.files import has_bom, is_utf8
-from rulespan.sources.facts import TABLES
+from rulespan.operators.graph import cut
+from rulespan.sources.facts import TABLES, _fields
 from rulespan.sources.php_tokens import SyntaxProblem, Token, tokenize
 
 # Fixed values of the language.
@@ -762,23 +763,30 @@ def facts_of(file: str, content: bytes) -> dict[str, list[dict]]:
     return out
 
 
-def extract(files: DataFrame) -> dict[str, DataFrame]:
-    """The fact tables of ``files`` (file, content); each table is a pass of its own over the files, so a
-    table that nobody reads costs nothing."""
+#: What the extractor knows of a file; the rest of ``schemas.FILE_ANALYSES`` Spark tells from its bytes.
+_ANALYSES = "file string, invalid_php_tag_line int, has_valid_ast boolean, declares_symbols boolean, has_side_effects boolean, side_effect_line int"
 
-    def table(name: str) -> DataFrame:
-        ddl = TABLES[name] if name != "analyses" else "file string, invalid_php_tag_line int, has_valid_ast boolean, declares_symbols boolean, has_side_effects boolean, side_effect_line int"
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                rows = [r for file, content in zip(batch["file"], batch["content"], strict=True) for r in facts_of(file, bytes(content or b""))[name]]
-                if rows:
-                    yield pd.DataFrame(rows).astype({"invalid_php_tag_line": "Int32"} if name == "analyses" else {})
+def extract(files: DataFrame, *, materialise: bool = True) -> dict[str, DataFrame]:
+    """The fact tables of ``files`` (file, content). Files are parsed in one pass, whose result is written to
+    the checkpoint folder as all tables read it; without ``materialise`` each table parses on its own."""
+    ddl = {name: _ANALYSES if name == "analyses" else schema for name, schema in TABLES.items()}
 
-        return files.select("file", "content").mapInPandas(run, ddl)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [facts_of(file, bytes(content or b"")) for file, content in zip(batch["file"], batch["content"], strict=True)]
+            yield pd.DataFrame(rows, columns=list(ddl)).assign(bom=batch["bom"], utf8=batch["utf8"])
 
-    out = {name: table(name) for name in TABLES if name != "analyses"}
-    bytes_of = files.select(F.col("file").alias("__file"), has_bom("content").alias("has_utf8_bom"), is_utf8("content").alias("has_valid_utf8"))
-    analyses = table("analyses").join(bytes_of, F.col("file") == F.col("__file"))
+    nested = ", ".join(f"{name} array<struct<{', '.join(_field(x) for x in _fields(fields))}>>" for name, fields in ddl.items())
+    source = files.select("file", "content", has_bom("content").alias("bom"), is_utf8("content").alias("utf8"))
+    parsed = source.mapInPandas(run, f"{nested}, bom boolean, utf8 boolean")
+    parsed = cut(parsed) if materialise else parsed
+    out = {name: parsed.select(F.inline(name)) for name in ddl if name != "analyses"}
     names = [p.split()[0] for p in schemas.FILE_ANALYSES.split(", ")]
+    analyses = parsed.select(F.col("bom").alias("has_utf8_bom"), F.col("utf8").alias("has_valid_utf8"), F.inline("analyses"))
     return out | {"analyses": analyses.select(*names)}
+
+
+def _field(ddl: str) -> str:
+    name, _, kind = ddl.partition(" ")
+    return f"{name}: {kind}"

@@ -38,7 +38,7 @@ CLASS_RATIO = 1.3
 #: Ranges of a sketch: a power of two near a quarter of the shingles, in these bounds.
 RANGES = (64, 65536)
 #: One task compares the sketches of at most about twice so many members of a region.
-SPLIT_MEMBERS = 2500
+SPLIT_MEMBERS = 1500
 #: A region that one task solves has at most so many members and shingles in all.
 REGION_MEMBERS, REGION_SHINGLES = 1000, 1_000_000
 #: Pivots that a larger region's blocks meet first.
@@ -244,6 +244,18 @@ def possible_links(sketches: list[np.ndarray], sizes: np.ndarray, num: int, den:
     return links
 
 
+def stars(ids: list[int], links: list[tuple[int, int]]) -> pa.Table:
+    """(a, b): of each member of the links' components the component's smallest id. Regions that overlap
+    then name the same pairs."""
+    parent, order = list(range(len(ids))), sorted(range(len(ids)), key=ids.__getitem__)
+    place = {i: k for k, i in enumerate(order)}
+    for a, b in links:
+        merged(parent, place[a], place[b])
+    roots = [root(parent, k) for k in range(len(ids))]
+    pairs = [(ids[order[k]], ids[order[r]]) for k, r in enumerate(roots) if r != k]
+    return pa.table([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
 def _intersections(pivot: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sizes of the pivot's intersections with the sets that lie one after the other in ``flat``."""
     at = np.minimum(np.searchsorted(pivot, flat), len(pivot) - 1)
@@ -326,8 +338,7 @@ def _solved(members: DataFrame, num: int, den: int) -> DataFrame:
         ids = group.column("sid").to_pylist()
         order = sorted(range(len(ids)), key=ids.__getitem__)
         packed = group.column("shingles").to_pylist()
-        links = local_links([np.frombuffer(packed[i], np.uint64) for i in order], num, den)
-        return pa.table([pa.array([ids[order[x[k]]] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        return stars([ids[i] for i in order], local_links([np.frombuffer(packed[i], np.uint64) for i in order], num, den))
 
     return members.groupBy("region").applyInArrow(solve, "a long, b long")
 
@@ -365,8 +376,7 @@ def _solved_in_blocks(members: DataFrame, num: int, den: int) -> DataFrame:
 
     def cross(few: pa.Table, block: pa.Table) -> pa.Table:
         ids = few.column("sid").to_pylist() + block.column("o_sid").to_pylist()
-        links = local_links([*unpack(few), *unpack(block, "o_shingles")], num, den, only=few.num_rows)
-        return pa.table([pa.array([ids[x[k]] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        return stars(ids, local_links([*unpack(few), *unpack(block, "o_shingles")], num, den, only=few.num_rows))
 
     spread = everywhere(loose).groupBy("region", "own", "block")
     against = everywhere(members.withColumn("other", F.col("block"))).select("region", F.col("block").alias("own"), F.col("other").alias("block"), "sid", "shingles")
@@ -385,8 +395,7 @@ def _subregions(members: DataFrame, num: int, den: int, split_members: int) -> D
 
     def link(group: pa.Table) -> pa.Table:
         ids = group.column("sid").to_pylist()
-        links = possible_links([np.frombuffer(x, np.uint8) for x in group.column("sketch").to_pylist()], np.array(group.column("n").to_pylist(), np.int64), num, den)
-        return pa.table([pa.array([ids[x[k]] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        return stars(ids, possible_links([np.frombuffer(x, np.uint8) for x in group.column("sketch").to_pylist()], np.array(group.column("n").to_pylist(), np.int64), num, den))
 
     roots = components(dealt.groupBy("region", "i", "j").applyInArrow(link, "a long, b long"))
     return roots.select(F.col("root").alias("region"), F.col("node").alias("sid"))

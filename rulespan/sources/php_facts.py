@@ -51,6 +51,9 @@ class _Class:
         self.constants: list[dict] = []
         self.properties: list[dict] = []
         self.promoted: list[dict] = []
+        #: first token of the declaration, and of each member: (kind, name, token)
+        self.start = self.stop = 0
+        self.spots: list[tuple[str, str, int]] = []
 
 
 class FileFacts:
@@ -308,7 +311,7 @@ class FileFacts:
     # -- classes --
 
     def class_like(self) -> None:
-        flags = set()
+        flags, start = set(), self.i
         while self.at("abstract", "final", "readonly"):
             flags.add(self.next().low())
         first = self.next()
@@ -320,6 +323,7 @@ class FileFacts:
         self.classes.append(c)
         self.open.append(c)
         self.class_rest(c)
+        c.start, c.stop = start, self.i
         self.open.pop()
 
     def names(self) -> list[str]:
@@ -381,7 +385,7 @@ class FileFacts:
             else:
                 self.expect(";")
             return
-        start, seen = token.line, set()
+        start, seen, spot = token.line, set(), self.i
         while self.at(*MODIFIERS):
             word = self.next().low()
             seen.add(word)
@@ -394,6 +398,7 @@ class FileFacts:
                 self.type_until_name()
             while True:
                 name = self.next()
+                c.spots.append(("constant", name.text, spot))
                 c.constants.append({"name": name.text, "visibility": visibility, "has_explicit_visibility": explicit, "line": start})
                 self.expect("=")
                 self.expression(stops=(",", ";"))
@@ -402,11 +407,13 @@ class FileFacts:
             self.expect(";")
         elif self.take("function"):
             self.take("&")
+            c.spots.append(("method", self.peek().text, spot))
             self.method_rest(c, self.next().text, start, visibility, explicit, "static" in seen)
         else:
             self.type_until_variable()
             while True:
                 name = self.next()
+                c.spots.append(("property", name.text[1:], spot))
                 c.properties.append({"name": name.text[1:], "visibility": visibility, "has_explicit_visibility": explicit, "line": start})
                 if self.take("="):
                     self.expression(stops=(",", ";", "{"))
@@ -454,6 +461,7 @@ class FileFacts:
             seen, line = set(), self.peek().line
             while self.peek().kind == "attr":
                 self.attribute()
+            spot = self.i
             while self.at("public", "protected", "private", "readonly", "final"):
                 seen.add(self.next().low())
                 if self.at("(") and self.peek(1).low() == "set":
@@ -463,6 +471,7 @@ class FileFacts:
             n += 1
             if seen and c is not None:
                 visibility = next((v for v in ("private", "protected", "public") if v in seen), "public")
+                c.spots.append(("property", name.text[1:], spot))
                 c.promoted.append({"name": name.text[1:], "visibility": visibility, "has_explicit_visibility": bool(seen & {"private", "protected", "public"}), "line": line})
             if self.take("="):
                 self.expression(stops=(",", ")"))
@@ -717,7 +726,7 @@ class FileFacts:
                 self.targets.setdefault(value)
 
 
-_TAG = re.compile(r"<\?(?!=)(?:(php|xml-stylesheet|xml)(?![A-Za-z0-9_-]))?", re.I)
+TAG = re.compile(r"<\?(?!=)(?:(php|xml-stylesheet|xml)(?![A-Za-z0-9_-]))?", re.I)
 
 
 def invalid_tag_line(source: str) -> int | None:
@@ -730,7 +739,7 @@ def invalid_tag_line(source: str) -> int | None:
         if token.kind == "open" and token.text not in ("<?php", "<?="):
             return token.line
         if token.kind == "html":
-            for m in _TAG.finditer(token.text):
+            for m in TAG.finditer(token.text):
                 if not m[1]:
                     return token.line + token.text.count("\n", 0, m.start())
     return None

@@ -18,6 +18,9 @@ class Token:
     text: str
     line: int
     end: int
+    #: where it starts in the source, and where what follows it starts
+    pos: int = 0
+    stop: int = 0
 
     def low(self) -> str:
         return self.text.lower()
@@ -56,11 +59,11 @@ def tokenize(source: str) -> list[Token]:
             m = _OPEN.search(source, at)
             text = source[at : m.start()] if m else source[at:]
             if text:
-                out.append(Token("html", text, line, line + text.count("\n")))
+                out.append(Token("html", text, line, line + text.count("\n"), at, at + len(text)))
                 line += text.count("\n")
             if not m:
                 break
-            out.append(Token("open", m[0], line, line))
+            out.append(Token("open", m[0], line, line, m.start(), m.end()))
             at, html = m.end(), False
             continue
         m = _SCAN.match(source, at)
@@ -75,19 +78,19 @@ def tokenize(source: str) -> list[Token]:
             line += source[at : end.end()].count("\n")
             at = end.end()
             varies = m["q"] != "'" and _VARIES.search(body)
-            out.append(Token("template" if varies else "string", body, start, line))
+            out.append(Token("template" if varies else "string", body, start, line, m.start(), at))
         elif kind in ("space", "comment"):
             if text.startswith("/*") and not text.endswith("*/"):
                 raise SyntaxProblem("a comment isn't closed")
         elif kind == "close":
-            out.append(Token("op", ";", start, start))
+            out.append(Token("op", ";", start, start, m.start(), at))
             html = True
         elif kind == "single":
-            out.append(Token("string", re.sub(r"\\([\\'])", r"\1", text[1:-1]), start, line))
+            out.append(Token("string", re.sub(r"\\([\\'])", r"\1", text[1:-1]), start, line, m.start(), at))
         elif kind == "double":
-            out.append(Token("template" if _VARIES.search(text[1:-1]) else "string", _unescaped(text[1:-1]), start, line))
+            out.append(Token("template" if _VARIES.search(text[1:-1]) else "string", _unescaped(text[1:-1]), start, line, m.start(), at))
         elif kind == "op" and text in "\"'`":
             raise SyntaxProblem("a string isn't closed")
         else:
-            out.append(Token(kind, text, start, line))
+            out.append(Token(kind, text, start, line, m.start(), at))
     return out

@@ -22,8 +22,8 @@ from rulespan.llm.common import U64, WordHashes, byte_values, chunks, hashed_wor
 MASKS = ("111111", "1110111", "110110011", "1010011011")
 #: An overlap has at least so many tokens in all and so large a share of equal ones.
 MIN_TOKENS, MIN_SHARE = 13, 0.75
-#: The benchmark is sent to every executor in parts of at most so many bytes of text.
-PART_BYTES = 32 << 20
+#: The benchmark goes to every executor in parts of at most so many bytes of text (an index is about 16 times as large).
+PART_BYTES = 4 << 20
 
 SCHEMA = "item_id long, n_hits int, overlap_start int, overlap_tokens int, equal_tokens int"
 

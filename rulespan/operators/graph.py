@@ -46,9 +46,10 @@ def closure(edges: DataFrame, *, max_rounds: int = 200) -> DataFrame:
 
 def last_by_key(nodes: DataFrame, key: str = "class_name") -> DataFrame:
     """One row of each name: the last in the order of files and lines, as later declarations hide earlier ones."""
-    last = nodes.groupBy(F.col(key).alias("__key")).agg(F.max(F.struct("file", "line")).alias("__last"))
-    rows = nodes.join(last, (F.col(key) == F.col("__key")) & (F.struct("file", "line") == F.col("__last"))).drop("__key", "__last")
-    return rows.dropDuplicates([key])
+    rest = [c for c in nodes.columns if c not in (key, "file", "line")]
+    # one shuffle; rows of the same place are told apart by their other columns
+    last = nodes.groupBy(key).agg(F.max(F.struct("file", "line", *rest)).alias("__last"))
+    return last.select(key, "__last.*").select(*nodes.columns)
 
 
 def _edges(nodes: DataFrame, kind: str, items: str, *, single: bool = False) -> DataFrame:

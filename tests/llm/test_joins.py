@@ -140,3 +140,17 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, 200: 200, 201: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("bound", [1 << 29, 1 << 19])
+def test_filter_never_misses_a_key(spark, monkeypatch, bound):
+    from rulespan.llm import common
+
+    monkeypatch.setattr(common, "FILTER_BITS", bound)
+    keys = spark.range(40_000).select(F.xxhash64("id").alias("h"))
+    bitmap, mask = common.key_filter(keys, 40_000)
+    hashes = np.array([r.h for r in spark.range(80_000).select(F.xxhash64("id").alias("h")).collect()], np.int64)
+    hit = common.maybe_in(hashes, bitmap, mask)
+    assert len(bitmap) * 8 == min(bound, 1 << 20) and hit[:40_000].all() and hit[40_000:].mean() < 0.1
+    none, mask = common.key_filter(keys.where("false"), 0)
+    assert not common.maybe_in(hashes, none, mask).any()

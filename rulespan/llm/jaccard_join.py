@@ -380,7 +380,7 @@ def _solved_in_blocks(members: DataFrame, num: int, den: int) -> DataFrame:
 
     spread = everywhere(loose).groupBy("region", "own", "block")
     against = everywhere(members.withColumn("other", F.col("block"))).select("region", F.col("block").alias("own"), F.col("other").alias("block"), "sid", "shingles")
-    against = against.join(loose.select("region", "own").distinct(), ["region", "own"], "left_semi")
+    against = against.join(loose.select("region", "own").distinct(), ["region", "own"], "left_semi").repartition("region", "own", "block")
     found = spread.cogroup(other(against).groupBy("o_region", "o_own", "o_block")).applyInArrow(cross, "a long, b long")
     return met.select("a", "b").unionByName(found)
 
@@ -397,7 +397,8 @@ def _subregions(members: DataFrame, num: int, den: int, split_members: int) -> D
         ids = group.column("sid").to_pylist()
         return stars(ids, possible_links([np.frombuffer(x, np.uint8) for x in group.column("sketch").to_pylist()], np.array(group.column("n").to_pylist(), np.int64), num, den))
 
-    roots = components(dealt.groupBy("region", "i", "j").applyInArrow(link, "a long, b long"))
+    # dealt anew, else all blocks of a region would stay in the task that counted it
+    roots = components(dealt.repartition("region", "i", "j").groupBy("region", "i", "j").applyInArrow(link, "a long, b long"))
     return roots.select(F.col("root").alias("region"), F.col("node").alias("sid"))
 
 

@@ -388,7 +388,8 @@ def _solved_in_blocks(members: DataFrame, num: int, den: int) -> DataFrame:
 def _subregions(members: DataFrame, num: int, den: int, split_members: int) -> DataFrame:
     """(region, sid): disjoint regions of at least two members, without links between them.
     ``members``: (region, sid, n, sketch). Larger regions are dealt into blocks, and each two blocks meet."""
-    counted = members.groupBy("region").agg(F.ceil(F.count("*") / split_members).alias("blocks"))
+    # written, so that the join's sides are plain shuffles, of which a large region's can be split
+    counted = cut(members.groupBy("region").agg(F.ceil(F.count("*") / split_members).alias("blocks")))
     dealt = members.join(counted, "region").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid", "n", "sketch")

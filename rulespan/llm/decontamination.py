@@ -70,6 +70,18 @@ def best_stretch(equal: np.ndarray, min_share: float) -> tuple[int, int]:
     return start, end
 
 
+def longest_stretch(equal: np.ndarray, min_share: float) -> tuple[int, int]:
+    """The longest stretch of the aligned tokens whose share of equal ones is ``min_share`` at least:
+    [start, end), of equally long ones that with more equal tokens, then the first; [0, 0) where there is none."""
+    same = np.concatenate([[0], np.cumsum(equal)])
+    places = np.arange(len(same))
+    gained = same - min_share * places
+    # of each end, the first start with no higher sum before it; sums that are equal but for rounding are equal
+    start = np.searchsorted(-np.minimum.accumulate(gained), -gained - 1e-9)
+    end = int(np.lexsort((places, same[start] - same, start - places))[0])
+    return int(start[end]), end
+
+
 def seed_hits(flat: np.ndarray, index: dict, masks: tuple[str, ...]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
     """For each mask: the places of ``flat`` that hit, and the range of index entries that each hits."""
     for salt, mask in enumerate(masks):
@@ -81,8 +93,9 @@ def seed_hits(flat: np.ndarray, index: dict, masks: tuple[str, ...]) -> Iterator
         yield mask, at, first, np.searchsorted(index["keys"], own[at], "right")
 
 
-def overlaps(flat: np.ndarray, starts: np.ndarray, index: dict, masks: tuple[str, ...], min_tokens: int, min_share: float) -> Iterator[tuple]:
+def overlaps(flat: np.ndarray, starts: np.ndarray, index: dict, masks: tuple[str, ...], min_tokens: int, min_share: float, every_stretch: bool = False) -> Iterator[tuple]:
     """(text number, item number, hits, start in the text, tokens, equal tokens) of each text's and item's best verified overlap."""
+    stretch = longest_stretch if every_stretch else best_stretch
     if not len(index["keys"]):
         return
     aligned: dict[tuple[int, int, int], int] = {}
@@ -101,10 +114,10 @@ def overlaps(flat: np.ndarray, starts: np.ndarray, index: dict, masks: tuple[str
         item = index["flat"][index["starts"][number] : index["starts"][number + 1]]
         low, high = max(0, shift), min(int(starts[text + 1] - starts[text]), shift + len(item))
         equal = flat[starts[text] + low : starts[text] + high] == item[low - shift : high - shift]
-        start, end = best_stretch(equal, min_share)
+        start, end = stretch(equal, min_share)
         same = int(equal[start:end].sum())
         # an item shorter than the least overlap counts if it is there in full length
-        if end - start >= min(min_tokens, len(item)) and same >= min_share * (end - start):
+        if end - start >= min(min_tokens, len(item)) and same >= min_share * (end - start) - 1e-9:
             found = (end - start, same, -(low + start))
             best[pair] = max(best.get(pair, found), found)
     for (text, number), (length, same, start) in sorted(best.items()):
@@ -126,12 +139,14 @@ def _indexes(benchmark: DataFrame, item_id: str, item_text: str, masks: tuple[st
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
                   item_text: str = "text", masks: tuple[str, ...] = MASKS, min_tokens: int = MIN_TOKENS,
-                  min_share: float = MIN_SHARE, part_bytes: int = PART_BYTES) -> DataFrame:
+                  min_share: float = MIN_SHARE, part_bytes: int = PART_BYTES, every_stretch: bool = False) -> DataFrame:
     """One row per document and benchmark item that overlap: the document's id as ``doc_id``, then ``SCHEMA``.
 
     ``n_hits`` counts seed hits; ``overlap_start`` is the first overlapping token's place in the
     document, counted from 0; the longest overlap is told, then the one with more equal tokens,
-    then the first. Words are cut at ASCII white space and compared without regard to ASCII case.
+    then the first. With ``every_stretch``, any stretch of the aligned tokens that is long and equal
+    enough is an overlap; else only that of the highest score is looked at, so that a short equal run
+    may hide a longer overlap. Words are cut at ASCII white space and compared without regard to ASCII case.
 
     The benchmark goes to the executors in parts of at most ``part_bytes`` of text, one scan of the
     documents for each part; documents are neither shuffled nor gathered. Null or empty texts
@@ -149,7 +164,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
             for batch in batches:
                 for chunk in chunks(batch, "text"):
                     flat, starts = hashed_words(byte_values(chunk.column("text")), known)
-                    found = list(overlaps(flat, starts, table, masks, min_tokens, min_share))
+                    found = list(overlaps(flat, starts, table, masks, min_tokens, min_share, every_stretch))
                     if found:
                         rows, numbers, n, start, length, same = zip(*found, strict=True)
                         yield pa.RecordBatch.from_arrays(
@@ -163,7 +178,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS,
-                  min_tokens: int = MIN_TOKENS, min_share: float = MIN_SHARE, part_bytes: int = PART_BYTES) -> DataFrame:
+                  min_tokens: int = MIN_TOKENS, min_share: float = MIN_SHARE, part_bytes: int = PART_BYTES, every_stretch: bool = False) -> DataFrame:
     """``docs``, all columns, without the rows that ``find_overlaps`` has an item for; one pass for each
     part of the benchmark, without a shuffle."""
     schema = docs.schema
@@ -176,7 +191,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
                 named = batch.rename_columns([f"c{i}" for i in range(batch.num_columns)])
                 for chunk in chunks(named, f"c{at}"):
                     flat, starts = hashed_words(byte_values(chunk.column(at)), known)
-                    leaked = {x[0] for x in overlaps(flat, starts, table, masks, min_tokens, min_share)}
+                    leaked = {x[0] for x in overlaps(flat, starts, table, masks, min_tokens, min_share, every_stretch)}
                     rows = [i for i in range(chunk.num_rows) if i not in leaked]
                     yield pa.RecordBatch.from_arrays(chunk.take(pa.array(rows, pa.int64())).columns, schema=batch.schema)
 

@@ -264,6 +264,32 @@ def test_overlaps_equal_brute_force(spark):
     assert decontamination.find_overlaps(df, bench.where("false")).count() == 0 and decontamination.find_overlaps(df.where("false"), bench).count() == 0
 
 
+def test_every_stretch_counts(spark):
+    words = lambda c, n: [f"{c}{i}" for i in range(n)]
+    item = words("t", 28)
+    leaks = {1: [*item[:8], *words("x", 3), *item[11:19]], 2: [*item[:12], *words("x", 4), *item[16:]], 3: item[:9], 4: words("y", 30)}
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in leaks.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    found = {r.doc_id: (r.overlap_start, r.overlap_tokens, r.equal_tokens) for r in decontamination.find_overlaps(docs, bench, every_stretch=True).collect()}
+    assert found == {1: (0, 19, 16), 2: (0, 28, 24)}
+    assert {r.doc_id for r in decontamination.decontaminate(docs, bench, every_stretch=True).collect()} == {3, 4}
+    r = random.Random(4)
+    for _ in range(500):
+        equal, share = np.array([r.random() < r.choice([0.3, 0.75, 0.9]) for _ in range(r.randint(1, 25))]), r.choice([0.75, 0.8])
+        every = [(j - i, int(equal[i:j].sum()), -i) for i in range(len(equal)) for j in range(i + 1, len(equal) + 1) if equal[i:j].sum() >= share * (j - i) - 1e-9]
+        a, b = decontamination.longest_stretch(equal, share)
+        assert (b - a, int(equal[a:b].sum()), -a) == max(every, default=(0, 0, 0))
+
+
+def test_query_counts_every_stretch(spark, tmp_path):
+    from rulespan.llm.queries import op9_decontamination
+
+    item = [f"t{i}" for i in range(28)]
+    spark.createDataFrame([(1, " ".join([*item[:12], "x", "x", "x", "x", *item[16:]]))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [(r.doc_id, r.item_id, r.overlap_tokens) for r in op9_decontamination(spark, str(tmp_path)).collect()] == [(1, 7, 28)]
+
+
 # --- 10: quality ---
 
 

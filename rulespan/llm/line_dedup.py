@@ -17,7 +17,7 @@ from rulespan.llm.common import cut
 MIN_DOCS = 10
 #: Leading tokens on the way to a leaf; shorter lines than ``MIN_TOKENS`` are never templates.
 DEPTH, MIN_TOKENS = 2, 5
-#: The least share of constants among a template's tokens, in percent.
+#: The least share of constants without a digit among a template's tokens, in percent.
 CONSTANT_PERCENT = 80
 #: Up to so many leaves (16 bytes each) are sent to all tasks; more are joined by a shuffle.
 BROADCAST_LEAVES = 100_000
@@ -63,7 +63,9 @@ def recurring_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     # inner: a line's wildcards are gone, its constants make the template
     fixed = tokens.join(constants, place)
     made = fixed.groupBy("__doc", "__line", "__leaf", "__size").agg(F.sort_array(F.collect_list(F.struct("__place", "__token"))).alias("__fixed"))
-    made = made.where(F.size("__fixed") * 100 >= F.col("__size") * constant_percent)
+    # variable fields are part of the template, but lines of nothing else (rows of numbers) are no template's
+    literals = F.size(F.filter("__fixed", lambda x: x["__token"] != "<*>"))
+    made = made.where(literals * 100 >= F.col("__size") * constant_percent)
     made = cut(made.select("__doc", "__line", F.xxhash64("__leaf", "__size", "__fixed").alias("__template")))
     by_doc = made.groupBy("__template", "__doc").agg(F.min("__line").alias("__line"))
     spread = by_doc.groupBy("__template").agg(F.count("*").alias("__docs"), F.min(F.struct("__doc", "__line")).alias("__first")).where(F.col("__docs") >= min_docs)

@@ -209,6 +209,13 @@ def test_one_hot_line_and_a_very_long_one(spark):
     assert out == {0: (4, 2), **{i: (4, 4) for i in range(1, 15)}}
 
 
+def test_rows_of_numbers_stay(spark):
+    row = lambda i: f"{2000 + i} {i}.4 {i * 3}.1 {i + 70} {i % 7}"
+    docs = [(i, f"{row(i)}\nTotal {row(i + 50)}\nPage {i} of the printed edition was made on day {i * 7}") for i in range(15)]
+    out = {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out == {i: t if i == 0 else t.rsplit("\n", 1)[0] for i, t in docs}
+
+
 # --- 9: benchmark ---
 
 

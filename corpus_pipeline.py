@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rulespan.llm.common import delete_folder, shared_folder
 from rulespan.llm.decontamination import decontaminate
 from rulespan.llm.jaccard_join import jaccard_components
-from rulespan.llm.line_dedup import drop_recurring_lines
+from rulespan.llm.line_dedup import LONG_DOCS, SHORT_DOCS, drop_recurring_lines
 from rulespan.llm.queries import QUALITY_CUT, mixed, quality_scores
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -26,7 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their recurring lines; what is left must be a fifth of a document at least."""
-    out = drop_recurring_lines(docs.select(*COLUMNS, F.length("text").alias("__before")))
+    copies = jaccard_components(docs, width=5, num=80, den=100)
+    out = drop_recurring_lines(docs.select(*COLUMNS, F.length("text").alias("__before")), long_docs=LONG_DOCS, short_docs=SHORT_DOCS, copies=copies)
     enough = (F.col("n_dropped") == 0) | (F.length("text") * LEAST_KEPT >= F.col("__before"))
     return out.where(enough).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 

@@ -4,6 +4,9 @@ A line goes down a tree of fixed depth: its number of tokens, then its leading t
 a digit being variable fields. In a leaf, the tokens that many documents have at a place are
 constants of the template and all others are wildcards. Templates that recur across documents
 are boilerplate: of their lines the first stays and the others are dropped.
+
+Lines that recur word for word have rules of their own, if asked for: long ones (passages) from a
+few documents on that are no copies of each other, short ones from more documents on.
 """
 
 from __future__ import annotations
@@ -19,6 +22,9 @@ MIN_DOCS = 10
 DEPTH, MIN_TOKENS = 2, 5
 #: The least share of constants without a digit among a template's tokens, in percent.
 CONSTANT_PERCENT = 80
+#: What the pipeline asks for besides: lines of so many tokens recur from so many documents on that are no
+#: copies of each other, lines too short for a template, if they have a letter, from so many documents on.
+LONG_TOKENS, LONG_DOCS, SHORT_DOCS = 50, 2, 50
 #: Up to so many leaves (16 bytes each) are sent to all tasks; more are joined by a shuffle.
 BROADCAST_LEAVES = 100_000
 
@@ -43,12 +49,30 @@ def _lines(docs: DataFrame, min_tokens: int, depth: int) -> DataFrame:
     return lines.select("__doc", "__line", "__tokens", F.xxhash64(*path).alias("__leaf"))
 
 
+def _exact_lines(docs: DataFrame, min_tokens: int, long_tokens: int, long_docs: int | None, short_docs: int | None) -> DataFrame:
+    """(doc, line, template, long, least) of each long or short line; template is a hash of the line, least the documents it must be in."""
+    lines = docs.select(F.col("__doc"), F.posexplode(F.split("__text", "\n")).alias("__line", "__raw")).where(F.col("__raw") != "")
+    lines = lines.withColumn("__size", F.regexp_count("__raw", F.lit(r"[^\x20\x09-\x0D]+")))
+    long = F.col("__size") >= long_tokens
+    short = ~long & (F.col("__size") < min_tokens) & F.col("__raw").rlike(r"\p{L}")
+    least = F.when(long, F.lit(long_docs).cast("int")).when(short, F.lit(short_docs).cast("int"))
+    template = F.xxhash64(F.lit("exact"), F.btrim("__raw", F.lit(" \t\x0b\x0c\r")))
+    return lines.select("__doc", "__line", template.alias("__template"), long.alias("__long"), least.alias("__least")).where("__least is not null")
+
+
 def recurring_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, depth: int = DEPTH,
-                    min_tokens: int = MIN_TOKENS, constant_percent: int = CONSTANT_PERCENT) -> DataFrame:
+                    min_tokens: int = MIN_TOKENS, constant_percent: int = CONSTANT_PERCENT, long_tokens: int = LONG_TOKENS,
+                    long_docs: int | None = None, short_docs: int | None = None, copies: DataFrame | None = None) -> DataFrame:
     """(__doc, __line): every line, counted from 0, of a recurring template but for the template's first one.
 
     First is the smallest (document id, line); a null id is the smallest. Rows with equal ids are
     one document, whose lines may then be given several times.
+
+    With ``long_docs``, lines of ``long_tokens`` or more that are equal but for white space around them
+    recur from so many documents on; with ``short_docs``, lines of less than ``min_tokens`` that have a letter.
+    ``copies`` (``doc_id``, ``component_id``) tells groups of copies by their smallest document: a
+    long line is counted in groups' smallest documents only, which come first also where all lines'
+    first is chosen, and the first one's copies keep the line like it, so that they stay copies.
     """
     source = docs.select(F.col(doc_id).alias("__doc"), F.col(text).cast("string").alias("__text")).where("__text is not null")
     lines = _lines(source, min_tokens, depth)
@@ -67,6 +91,8 @@ def recurring_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     literals = F.size(F.filter("__fixed", lambda x: x["__token"] != "<*>"))
     made = made.where(literals * 100 >= F.col("__size") * constant_percent)
     made = cut(made.select("__doc", "__line", F.xxhash64("__leaf", "__size", "__fixed").alias("__template")))
+    if long_docs is not None or short_docs is not None or copies is not None:
+        return _recurring_in_groups(made, _exact_lines(source, min_tokens, long_tokens, long_docs, short_docs), min_docs, copies)
     by_doc = made.groupBy("__template", "__doc").agg(F.min("__line").alias("__line"))
     spread = by_doc.groupBy("__template").agg(F.count("*").alias("__docs"), F.min(F.struct("__doc", "__line")).alias("__first")).where(F.col("__docs") >= min_docs)
     # written, so that the join's sides are plain shuffles, of which a hot template's can be split
@@ -75,6 +101,25 @@ def recurring_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return out.where(~(F.col("__doc").eqNullSafe(F.col("__first_doc")) & (F.col("__line") == F.col("__first_line")))).select("__doc", "__line")
 
 
+def _recurring_in_groups(made: DataFrame, exact: DataFrame, min_docs: int, copies: DataFrame | None) -> DataFrame:
+    """(__doc, __line) of the templates' lines ``made`` and of ``exact`` ones, with regard to ``copies``."""
+    found = made.withColumns({"__long": F.lit(False), "__least": F.lit(min_docs)}).unionByName(exact)
+    if copies is None:
+        found = found.withColumn("__group", F.col("__doc"))
+    else:
+        groups = copies.groupBy(F.col("doc_id").alias("__member")).agg(F.min("component_id").alias("__group"))
+        found = found.join(groups, F.col("__doc").eqNullSafe(F.col("__member")), "left").drop("__member").withColumn("__group", F.coalesce("__group", "__doc"))
+    found = cut(found.withColumn("__copy", ~F.col("__doc").eqNullSafe(F.col("__group"))))
+    by_doc = found.groupBy("__template", "__doc", "__group", "__copy", "__long", "__least").agg(F.min("__line").alias("__line"))
+    counted = F.sum(F.when(F.col("__long") & F.col("__copy"), 0).otherwise(1))
+    spread = by_doc.groupBy("__template", "__least").agg(counted.alias("__docs"), F.min(F.struct("__copy", "__doc", "__line", "__group")).alias("__first")).where(F.col("__docs") >= F.col("__least"))
+    spread = cut(spread.select("__template", F.col("__first.__doc").alias("__first_doc"), F.col("__first.__line").alias("__first_line"), F.col("__first.__group").alias("__first_group")))
+    out = found.join(spread, "__template")
+    own = F.col("__doc").eqNullSafe(F.col("__first_doc"))
+    stays = F.when(own, F.col("__line") == F.col("__first_line")).otherwise(F.col("__group").eqNullSafe(F.col("__first_group")))
+    return out.where(~stays).select("__doc", "__line")
+
+
 def drop_recurring_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with its recurring lines dropped from ``text``, and with ``n_lines int`` and ``n_dropped int``.
 

@@ -64,6 +64,26 @@ def test_run_gives_the_last_stage(spark, stages):
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == set(stages[0][5])
 
 
+def words(c, n):
+    return " ".join(f"{c}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n))
+
+
+def line_stage(spark, texts):
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    return {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, df, SF).collect()}
+
+
+def test_line_stage_finds_passages_of_few_documents_and_short_lines(spark):
+    passage, own = words("p", 60), lambda d: words(f"own{chr(97 + d)}", 80)
+    texts = {d: f"{own(d)}\n{passage}" for d in (3, 4)}
+    texts |= {d: own(5) + "\n" + words("q", 70) + end for d, end in ((5, ""), (6, " more"), (7, ""))}  # copies of each other
+    texts |= {d: words(f"z{chr(97 + d // 26)}{chr(97 + d % 26)}", 9) + "\nAll rights reserved.\n12 7" for d in range(100, 160)}
+    out = line_stage(spark, texts)
+    assert out[3] == texts[3] and out[4] == own(4)
+    assert all(out[d] == texts[d] for d in (5, 6, 7)), "copies are left to the next stage"
+    assert out[100] == texts[100] and all(out[d] == texts[d].replace("All rights reserved.\n", "") for d in range(101, 160))
+
+
 def test_names():
     assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in QUERIES)] == [] and set(SQL) <= set(QUERIES)
     assert len(list(itertools.chain(corpus_pipeline.STAGES))) == 5

@@ -14,8 +14,6 @@ from rulespan.llm.line_dedup import LONG_DOCS, SHORT_DOCS, drop_recurring_lines
 from rulespan.llm.queries import QUALITY_CUT, mixed, quality_scores
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document that loses more than four fifths of its characters as recurring lines is a copy or boilerplate, and goes.
-LEAST_KEPT = 5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,11 +23,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their recurring lines; what is left must be a fifth of a document at least."""
+    """Documents without their recurring lines; those go that have lost lines and have no text left."""
     copies = jaccard_components(docs, width=5, num=80, den=100)
-    out = drop_recurring_lines(docs.select(*COLUMNS, F.length("text").alias("__before")), long_docs=LONG_DOCS, short_docs=SHORT_DOCS, copies=copies)
-    enough = (F.col("n_dropped") == 0) | (F.length("text") * LEAST_KEPT >= F.col("__before"))
-    return out.where(enough).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    out = drop_recurring_lines(docs.select(*COLUMNS), long_docs=LONG_DOCS, short_docs=SHORT_DOCS, copies=copies)
+    return out.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,6 +84,16 @@ def test_line_stage_finds_passages_of_few_documents_and_short_lines(spark):
     assert out[100] == texts[100] and all(out[d] == texts[d].replace("All rights reserved.\n", "") for d in range(101, 160))
 
 
+def test_line_stage_keeps_what_little_is_left(spark):
+    passages = [words(f"p{c}", 60) for c in "abcdefghij"]
+    texts = {k: p + "\n" + words(f"own{chr(97 + k)}", 80) for k, p in enumerate(passages[1:])}
+    texts[50] = "\n".join(passages)  # first for one passage of ten
+    texts[51] = words("tail", 20) + "\n" + "\n".join(passages[:5])
+    texts[52] = "\n".join(passages[3:5]) + "\n \n"
+    out = line_stage(spark, texts)
+    assert out == {**{k: texts[k] for k in range(9)}, 50: passages[0], 51: words("tail", 20)}
+
+
 def test_names():
     assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in QUERIES)] == [] and set(SQL) <= set(QUERIES)
     assert len(list(itertools.chain(corpus_pipeline.STAGES))) == 5

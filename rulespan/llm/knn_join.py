@@ -85,19 +85,30 @@ def _assigned(rows: DataFrame, shared, is_data: bool) -> DataFrame:
     return rows.mapInArrow(assign, f"id long, v {rows.schema['v'].dataType.simpleString()}, cell int, dist double")
 
 
+def nearest_ids(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """The places of the ``k`` smallest distances of distinct ids, of each id its smallest."""
+    order = np.argsort(dist, kind="stable")
+    _, first = np.unique(ids[order], return_index=True)
+    return order[np.sort(first)[:k]]
+
+
 def _nearest(data: DataFrame, k: int) -> DataFrame:
-    """(cell, dist): each cell's ``k`` smallest distances and perhaps some more, at most ``k`` of each task's rows."""
+    """(cell, id, dist): each cell's ``k`` smallest distances of distinct ids and perhaps some more, at most ``k`` of each task's rows."""
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, np.ndarray] = {}
+        kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            cells, dist = batch.column("cell").to_numpy(), batch.column("dist").to_numpy()
+            cells, ids, dist = (batch.column(c).to_numpy() for c in ("cell", "id", "dist"))
             for c in np.unique(cells).tolist():
-                kept[c] = np.sort(np.concatenate([kept.get(c, np.zeros(0)), dist[cells == c]]))[:k]
+                own_ids, own = kept.get(c, (np.zeros(0, np.int64), np.zeros(0)))
+                own_ids, own = np.concatenate([own_ids, ids[cells == c]]), np.concatenate([own, dist[cells == c]])
+                at = nearest_ids(own, own_ids, k)
+                kept[c] = own_ids[at], own[at]
         if kept:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(list(kept), [len(x) for x in kept.values()]), pa.int32()), pa.array(np.concatenate(list(kept.values())))], names=["cell", "dist"])
+            columns = pa.array(np.repeat(list(kept), [len(x) for _, x in kept.values()]), pa.int32()), *(pa.array(np.concatenate([x[i] for x in kept.values()])) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays(list(columns), names=["cell", "id", "dist"])
 
-    return data.select("cell", "dist").mapInArrow(least, "cell int, dist double")
+    return data.select("cell", "id", "dist").mapInArrow(least, "cell int, id long, dist double").groupBy("cell", "id").agg(F.min("dist").alias("dist"))
 
 
 def best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,14 +161,17 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int, *, pivots: tuple[int,
     for r in queries.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("far")).collect():
         n_queries[r.cell], radius[r.cell] = r.n, r.far
     by_cell = Window.partitionBy("cell").orderBy("dist")
-    near = _nearest(data, k + 1).withColumn("i", F.row_number().over(by_cell)).where(F.col("i") <= k + 1).select("cell", "dist").collect()
-    near_cell, near_dist = np.array([r.cell for r in near], int), np.array([r.dist for r in near])
+    near = _nearest(data, k + 1).withColumn("i", F.row_number().over(by_cell)).where(F.col("i") <= k + 1).select("cell", "id", "dist").collect()
+    near_cell, near_id, near_dist = np.array([r.cell for r in near], int), np.array([r.id for r in near], np.int64), np.array([r.dist for r in near])
 
     between = distances(chosen, shared.value["up"], chosen, shared.value["up"])
     slack = 1e-6 * (1 + squared**0.5)
-    # k + 1 rows, as the query itself may be one of them, lie within this of every query of the cell
+    # k + 1 ids, as the query's own may be one of them, lie within this of every query of the cell
     through = radius[:, None] + between[:, near_cell] + near_dist[None, :]
-    bound = np.partition(through, k, axis=1)[:, k] if len(near) > k else np.full(cells, np.inf)
+    bound = np.full(cells, np.inf)
+    if len(np.unique(near_id)) > k:
+        for i in range(cells):
+            bound[i] = through[i, nearest_ids(through[i], near_id, k + 1)[k]]
     # a row of cell j at less than this from its pivot is too far from all queries of cell i
     floor = between - radius[:, None] - bound[:, None] - slack
     group, parts = grouped_cells(n_queries, between, group_queries)

@@ -51,6 +51,15 @@ def test_knn_of_one_common_vector(spark):
     assert got == brute_knn(data[:20], data, 3)
 
 
+def test_knn_of_an_id_with_many_rows(spark):
+    # a circle: the rows of a query's own id are the nearest, those of the other ranks are in other cells
+    turn = np.arange(400) * 2 * np.pi / 400
+    data = list(enumerate((1e6 * np.stack([np.cos(turn), np.sin(turn)], 1)).round().astype(int).tolist()))
+    queries = data[::20]
+    data += [x for x in queries for _ in range(5)]
+    assert knn(spark, queries, data, 3, pivots=(200, 200), group_queries=1) == brute_knn(queries, data, 3)
+
+
 def test_knn_odd_rows(spark):
     data = [(1, [1, 0]), (1, [5, 0]), (2, None), (None, [9, 9]), (3, [2]), (4, [-1, 0, 4]), (5, []), (5, [])]
     queries = [(1, [1, 1]), (7, [1, 0, 1]), (8, None), (None, [1])]

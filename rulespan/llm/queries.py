@@ -141,7 +141,7 @@ SQL: dict[str, str] = {
         made AS (
           SELECT t.doc_id, t.line, t.size, t.a, t.b, list(t.place || ' ' || t.token ORDER BY t.place) AS fixed
           FROM tokens t JOIN constants c ON t.size = c.size AND t.a = c.a AND t.b = c.b AND t.place = c.place AND t.token = c.token
-          GROUP BY ALL HAVING count(*) * 100 >= t.size * 80),
+          GROUP BY ALL HAVING count(*) FILTER (t.token <> '<*>') * 100 >= t.size * 80),
         spread AS (SELECT size, a, b, fixed, min((doc_id, line)) AS first FROM made GROUP BY ALL HAVING count(DISTINCT doc_id) >= 10),
         gone AS (SELECT m.doc_id, m.line FROM made m JOIN spread s ON m.size = s.size AND m.a = s.a AND m.b = s.b AND m.fixed = s.fixed WHERE (m.doc_id, m.line) <> s.first),
         texts AS (

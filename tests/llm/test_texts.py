@@ -5,6 +5,7 @@ import html
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -216,6 +217,109 @@ def test_rows_of_numbers_stay(spark):
     assert out == {i: t if i == 0 else t.rsplit("\n", 1)[0] for i, t in docs}
 
 
+def brute_lines(rows, min_docs):
+    """What is left of each row's text: tokens by place and leaf, then templates, all by plain loops."""
+    tokens, places, templates = {}, {}, {}
+    for r, (d, t) in enumerate(rows):
+        for n, line in enumerate(t.split("\n") if t is not None else []):
+            own = ["<*>" if any(c.isdigit() for c in x) else x for x in line.split()]
+            if len(own) >= 5:
+                tokens[r, n] = (leaf := (len(own), own[0], own[1])), own
+                for i, x in enumerate(own):
+                    places.setdefault((leaf, i, x), set()).add(d)
+    for (r, n), (leaf, own) in tokens.items():
+        fixed = tuple((i, x) for i, x in enumerate(own) if len(places[leaf, i, x]) >= min_docs)
+        if 100 * sum(x != "<*>" for _, x in fixed) >= 80 * len(own):
+            templates.setdefault((leaf, fixed), []).append((r, n))
+    gone = set()
+    for at in templates.values():
+        if len({rows[r][0] for r, _ in at}) >= min_docs:
+            first = min(at, key=lambda x: (rows[x[0]][0] is not None, rows[x[0]][0] or 0, x[1]))
+            gone |= {(r, n) for r, n in at if (rows[r], n) != (rows[first[0]], first[1])}
+    return [None if t is None else "\n".join(line for n, line in enumerate(t.split("\n")) if (r, n) not in gone) for r, (_, t) in enumerate(rows)]
+
+
+def test_rows_of_one_id_lose_their_own_lines_only(spark):
+    r = random.Random(8)
+    boiler = [f"the {w} line {{}} of {w} boilerplate that recurs" for w in ("first", "second", "third")]
+    texts = ["\n".join([f"own words of row {chr(97 + i % 26)}{chr(97 + i // 26)}", *(b.format(r.choice(["x", "7", "88"])) for b in boiler if r.random() < 0.5), "tail"]) for i in range(60)]
+    # lines come in different places in rows of the same id, and twelve rows have none
+    rows_ = [(r.choice([None, 5, 5, *range(20, 50)]), "\n".join(r.sample(t.split("\n"), t.count("\n") + 1))) for t in texts]
+    rows_ += rows_[:4] + [(5, None), (None, ""), (6, "\n\n")]
+    df = spark.createDataFrame(rows_, "doc_id long, text string")
+    for min_docs in (3, 6, 10):
+        got = line_dedup.drop_recurring_lines(df, min_docs=min_docs).select("doc_id", "text").collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(str((d, t)) for (d, _), t in zip(rows_, brute_lines(rows_, min_docs), strict=True))
+
+
+def test_leaves_joined_by_shuffle(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"page {i} of the printed edition was made\nown {'abcdefghijkl'[i]} words in a line") for i in range(12)], "doc_id long, text string")
+    want = sorted(rows(line_dedup.drop_recurring_lines(docs)))
+    monkeypatch.setattr(line_dedup, "BROADCAST_LEAVES", 0)
+    assert sorted(rows(line_dedup.drop_recurring_lines(docs))) == want and sum(r[3] for r in want) == 11
+
+
+def test_a_document_of_very_many_lines(spark):
+    docs = [(i, "a line of boilerplate words\n" * 300_000 + "\n".join(f"k{k}" for k in range(300_000))) for i in range(2)] + [(i, "a line of boilerplate words") for i in range(2, 14)]
+    began = time.perf_counter()
+    out = {r.doc_id: (r.n_lines, r.n_dropped, len(r.text)) for r in line_dedup.drop_recurring_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    own = len("\n".join(f"k{k}" for k in range(300_000)))
+    assert out == {0: (600_000, 299_999, own + 28), 1: (600_000, 300_000, own), **{i: (1, 1, 0) for i in range(2, 14)}}
+    assert time.perf_counter() - began < 60
+
+
+def brute_versions(texts):
+    """Of each document its group by the rule of line_dedup, by plain loops. ``texts``: {id: text}."""
+    lines = {d: list(dict.fromkeys(x.strip(" \t\x0b\x0c\r") for x in t.split("\n"))) for d, t in texts.items()}
+    order = lambda d: (len(texts[d]), d)
+    holders = {}
+    for d, own in lines.items():
+        for x in own:
+            if len(x.split()) >= line_dedup.VERSION_TOKENS:
+                holders.setdefault(x, set()).add(d)
+    group = {}
+    for d, own in lines.items():
+        shared = {}
+        for x in own:
+            if len(holders.get(x, ())) > 1:
+                f = min(holders[x], key=order)
+                shared[f] = shared.get(f, 0) + len(x)
+        best = [f for f in shared if shared[f] == max(shared.values())]
+        if not best or d in best:
+            continue
+        assert len(best) == 1, "the test has no ties"
+        f, = best
+        a, b, both = ([x for x in p if (x in q) == k] for p, q, k in ((own, lines[f], False), (lines[f], own, False), (own, lines[f], True)))
+        size = lambda y: sum(map(len, y))
+        def grams(y):
+            w = " ".join(y).split()
+            return {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))}
+        if size(both) >= 0.8 * (size(both) + size(a) + size(b)) or a and b and len(grams(a) & grams(b)) >= 0.2 * len(grams(a) | grams(b)):
+            group[d] = f
+    while any(g in group for g in group.values()):
+        group = {d: group.get(g, g) for d, g in group.items()}
+    return group
+
+
+def test_versions_equal_brute_force(spark):
+    r = random.Random(12)
+    words = lambda n: " ".join("".join(r.choices("abcdefghij", k=r.randint(3, 9))) for _ in range(n))
+    texts, passages = {}, [words(60) for _ in range(4)]
+    for _ in range(25):
+        base = [words(r.randint(20, 60)) for _ in range(r.randint(1, 5))] + r.sample(passages, r.randint(0, 2))
+        for _ in range(r.randint(1, 5)):
+            own = list(base)
+            for _ in range(r.randint(0, 3)):
+                i = r.randrange(len(own))
+                own[i] = r.choice([own[i].replace("a", "z", 3), words(30), own[i] + " " + words(2)])
+            texts[len(texts)] = "\n".join(own + [words(r.randint(1, 9))] * (r.random() < 0.5))
+    source = spark.createDataFrame(list(texts.items()), "__doc long, __text string").selectExpr("__doc", "xxhash64(__text) AS __hash", "__text")
+    exact = line_dedup._exact_lines(source, 5, 50, 50)
+    got = {x["__doc"]: x["__group_doc"] for x in line_dedup._versions(source, exact).collect()}
+    want = brute_versions(texts)
+    assert got == want and 10 < len(want) < len(texts) - 10
+
+
 # --- 9: benchmark ---
 
 

@@ -24,8 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their recurring lines; those go that have lost lines and have no text left."""
-    copies = jaccard_components(docs, width=5, num=80, den=100)
-    out = drop_recurring_lines(docs.select(*COLUMNS), long_docs=LONG_DOCS, short_docs=SHORT_DOCS, copies=copies)
+    out = drop_recurring_lines(docs.select(*COLUMNS), long_docs=LONG_DOCS, short_docs=SHORT_DOCS)
     return out.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -27,6 +27,14 @@ from rulespan.sources.scan import scan
 CONFIGS = ("architecture.py", "architecture.dist.py")
 
 
+TEMPLATE = """\
+from rulespan.plans import presets
+from rulespan.plans.architecture import Architecture
+
+architecture = Architecture().with_preset(presets.Psr12())
+"""
+
+
 class ConfigError(RuntimeError):
     """There is no configuration, or it defines no architecture."""
 
@@ -71,6 +79,23 @@ def analyse(spark: SparkSession, base_path: str, *, config: str | None = None, p
     return analysis.run(architecture, project_facts(spark, architecture, base_path, paths), accepted=known)
 
 
+def write(spark: SparkSession, base_path: str, path: str, *, config: str | None = None, paths: list[str] | None = None) -> int:
+    """Violations as JSON lines in a new folder, from the executors; returns the exit code."""
+    architecture = load(config or discover(base_path))
+    found = analysis.violations(architecture, project_facts(spark, architecture, base_path, paths), accepted=accepted(spark, architecture, base_path))
+    report.json_lines(found).write.text(path)
+    return 0 if spark.read.text(path).isEmpty() else 1
+
+
+def scaffold(base_path: str) -> str:
+    """A configuration to start from, in the project's folder; an existing one is an error."""
+    path = Path(base_path) / CONFIGS[0]
+    if path.exists():
+        raise ConfigError(f"{path} exists already")
+    path.write_text(TEMPLATE)
+    return str(path)
+
+
 def assert_no_violations(spark: SparkSession, base_path: str, config: str | None = None) -> None:
     """For a project's own tests: raises AssertionError with the report if there is a violation."""
     result = analyse(spark, base_path, config=config)
@@ -83,14 +108,24 @@ def main(argv: list[str] | None = None) -> int:
     commands = parser.add_subparsers(dest="command", required=True)
     run = commands.add_parser("analyse", help="report violations")
     clear = commands.add_parser("clear-cache", help="forget extracted facts")
+    start = commands.add_parser("init", help="write a configuration to start from")
+    start.add_argument("--base-path", default=".")
     for p in (run, clear):
         p.add_argument("--base-path", default=".")
         p.add_argument("--config")
     run.add_argument("paths", nargs="*", help="where to look instead of the layers' paths")
     run.add_argument("--report", choices=("console", "json"), default="console")
+    run.add_argument("--output", metavar="PATH", help="write violations there as JSON lines, however many, instead of a report")
     run.add_argument("--generate-baseline", metavar="PATH", help="accept all violations of now")
     args = parser.parse_args(argv)
     base = str(Path(args.base_path).resolve())
+    if args.command == "init":
+        try:
+            print(scaffold(base))
+        except ConfigError as problem:
+            print(problem, file=sys.stderr)
+            return 1
+        return 0
     spark = SparkSession.builder.appName("rulespan").getOrCreate()
     try:
         if args.command == "clear-cache":
@@ -103,6 +138,8 @@ def main(argv: list[str] | None = None) -> int:
             found = analysis.violations(architecture, project_facts(spark, architecture, base, args.paths))
             baseline.write(found, resolve(args.generate_baseline, base), base)
             return 0
+        if args.output:
+            return write(spark, base, resolve(args.output, str(Path.cwd())), config=args.config, paths=args.paths)
         result = analyse(spark, base, config=args.config, paths=args.paths)
     except ConfigError as problem:
         print(problem, file=sys.stderr)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +14,8 @@ _PAIRS = (("rule_key", "rule"), ("message", "message"), ("file", "file"), ("clas
 
 
 def _relative(text: Column, base: str) -> Column:
-    """Paths in a text, told from the base."""
-    return F.replace(text, F.lit(base + "/"), F.lit("")) if base else text
+    """Paths in a text, told from the base; longer paths that hold the base somewhere inside stay."""
+    return F.regexp_replace(text, rf"(?<![\w./\\~-])\Q{base}/\E", "") if base else text
 
 
 def signatures(violations: DataFrame, base_path: str = "") -> DataFrame:
@@ -29,7 +31,8 @@ def without_accepted(violations: DataFrame, baseline: DataFrame, base_path: str
     file = F.when(F.col("file").startswith(base + "/"), F.substr("file", F.lit(len(base) + 2))).otherwise(F.col("file")) if base else F.col("file")
     left = violations.withColumns({"__message": _relative(F.col("message"), base), "__file": file})
     right = baseline.select(*(F.col(b).alias(f"b_{b}") for _, b in _PAIRS)).distinct()
-    on = (F.col("rule_key") == F.col("b_rule")) & (F.col("__message") == F.col("b_message")) & (F.col("__file") == F.col("b_file")) & (F.col("class_name") == F.col("b_class")) & F.col("layer").eqNullSafe(F.col("b_layer"))
+    # a violation of no file, class or layer is equal to an entry of none
+    on = reduce(Column.__and__, (F.col(a).eqNullSafe(F.col(b)) for a, b in (("rule_key", "b_rule"), ("__message", "b_message"), ("__file", "b_file"), ("class_name", "b_class"), ("layer", "b_layer"))))
     return left.join(right, on, "left_anti").drop("__message", "__file")
 
 

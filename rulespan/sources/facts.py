@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,25 +47,36 @@ class FactStore:
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
 
     def read(self, name: str) -> DataFrame:
-        """Facts with the hash of the content that they are from; an unreadable or foreign table counts as empty."""
-        ddl = f"{TABLES[name]}, hash string"
-        return self.spark.read.schema(ddl).parquet(f"{self.path}/{name}") if self._exists(name) else self.spark.createDataFrame([], ddl)
+        """Facts with the hash of the content that they are from; a missing table counts as empty."""
+        ddl = f"{TABLES[name]}, hash string, batch string"
+        if not self._exists(name):
+            return self.spark.createDataFrame([], ddl).drop("batch")
+        return self.spark.read.schema(ddl).parquet(f"{self.path}/{name}").join(self._committed(), ["file", "hash", "batch"], "left_semi").drop("batch")
+
+    def _committed(self) -> DataFrame:
+        """(file, hash, batch) of what is here in full: a run that fails leaves no entry, so its rows don't
+        count, and of several runs that extracted the same file one counts."""
+        ddl = "file string, hash string, batch string"
+        here = self.spark.read.schema(ddl).parquet(f"{self.path}/files") if self._exists("files") else self.spark.createDataFrame([], ddl)
+        return here.groupBy("file", "hash").agg(F.min("batch").alias("batch"))
 
     def files(self) -> DataFrame:
         """(file, hash) of all files whose facts are here."""
-        return self.spark.read.schema("file string, hash string").parquet(f"{self.path}/files") if self._exists("files") else self.spark.createDataFrame([], "file string, hash string")
+        return self._committed().select("file", "hash")
 
     def refresh(self, files: DataFrame, extract: Callable[[DataFrame], Mapping[str, DataFrame]]) -> dict[str, DataFrame]:
         """Facts of ``files`` (file, content, hash): those that are here and still hold, and new ones, which
-        are added. Returns the tables without hashes."""
-        known = self.files()
-        stale = files.join(known, ["file", "hash"], "left_anti")
+        are added. Returns the tables without hashes. The files' own entries are written last, which makes the
+        batch count."""
+        batch = F.lit(str(uuid.uuid4())).alias("batch")
+        stale = files.join(self.files(), ["file", "hash"], "left_anti")
         fresh = extract(stale)
-        hashes = files.select("file", "hash")
-        for name in TABLES:
+        hashes = files.select("file", "hash").distinct()
+        for name, ddl in TABLES.items():
             # rows of older contents stay behind; the join with the current hashes leaves them out
-            fresh[name].join(hashes, "file").select(*self.read(name).columns).write.mode("append").parquet(f"{self.path}/{name}")
-        stale.select("file", "hash").write.mode("append").parquet(f"{self.path}/files")
+            columns = [f.split()[0] for f in _fields(ddl)]
+            fresh[name].join(hashes, "file").select(*columns, "hash", batch).write.mode("append").parquet(f"{self.path}/{name}")
+        stale.select("file", "hash", batch).write.mode("append").parquet(f"{self.path}/files")
         return {name: self.read(name).join(hashes, ["file", "hash"], "left_semi").drop("hash") for name in TABLES}
 
     def clear(self) -> None:

@@ -225,6 +225,9 @@ class FileFacts:
             if low == "do":
                 self.branch()
             self.body(top)
+            if low == "do" and self.take("while"):  # the end of the same loop
+                self.parenthesised(top)
+                self.take(";")
         elif low in ("case", "default") and self.peek(1).text not in ("=>", ","):
             self.i += 1
             self.branch()
@@ -772,6 +775,8 @@ def facts_of(file: str, content: bytes) -> dict[str, list[dict]]:
     return out
 
 
+#: Bytes of source whose facts are handed on together.
+LOT_BYTES = 8 << 20
 #: What the extractor knows of a file; the rest of ``schemas.FILE_ANALYSES`` Spark tells from its bytes.
 _ANALYSES = "file string, invalid_php_tag_line int, has_valid_ast boolean, declares_symbols boolean, has_side_effects boolean, side_effect_line int"
 
@@ -783,8 +788,11 @@ def extract(files: DataFrame, *, materialise: bool = True) -> dict[str, DataFram
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [facts_of(file, bytes(content or b"")) for file, content in zip(batch["file"], batch["content"], strict=True)]
-            yield pd.DataFrame(rows, columns=list(ddl)).assign(bom=batch["bom"], utf8=batch["utf8"])
+            # handed on in lots, as facts take several times their sources' room
+            lot = (batch["content"].map(lambda x: len(x or b"")).cumsum() // LOT_BYTES).to_numpy()
+            for _, part in batch.groupby(lot):
+                rows = [facts_of(file, bytes(content or b"")) for file, content in zip(part["file"], part["content"], strict=True)]
+                yield pd.DataFrame(rows, columns=list(ddl)).assign(bom=part["bom"].to_numpy(), utf8=part["utf8"].to_numpy())
 
     nested = ", ".join(f"{name} array<struct<{', '.join(_field(x) for x in _fields(fields))}>>" for name, fields in ddl.items())
     source = files.select("file", "content", has_bom("content").alias("bom"), is_utf8("content").alias("utf8"))

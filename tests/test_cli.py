@@ -56,3 +56,14 @@ def test_no_configuration(spark, tmp_path, capsys):
     (tmp_path / "architecture.dist.py").write_text("x = 1\n")
     with pytest.raises(cli.ConfigError):
         cli.load(cli.discover(str(tmp_path)))
+
+
+def test_scaffold_and_streamed_report(spark, project, capsys, monkeypatch):
+    base, _ = project
+    monkeypatch.setattr(spark, "stop", lambda: None)
+    code = run(capsys, "analyse", "--base-path", str(base), "--output", str(base / "out"))[0]
+    lines = [json.loads(x) for f in (base / "out").glob("part-*") for x in f.read_text().splitlines()]
+    assert code == 1 and len(lines) == 6 and all(x["layer"] == "Source" or x["rule"] for x in lines)
+    assert run(capsys, "init", "--base-path", str(base))[0] == 1, "there is a configuration"
+    (base / "architecture.py").unlink()
+    assert run(capsys, "init", "--base-path", str(base))[0] == 0 and cli.load(cli.discover(str(base))).rules

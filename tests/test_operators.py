@@ -1,11 +1,14 @@
 """Helpers and operators on small inputs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from rulespan.functions import names
-from rulespan.operators import files, graph, incremental, psr4, ruleset, skips
+from rulespan.operators import baseline, files, graph, incremental, psr4, ruleset, skips
 from rulespan.operators.layers import LayerPattern, Layers, prefix_layers_join
+from rulespan.sources.php_facts import extract
 from rulespan.sources.scan import in_scope, scan
 from rulespan.streaming import facts as streams
 
@@ -55,8 +58,19 @@ def test_layers(spark):
 def test_closures(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (5, 5), (None, 1)], "src int, dst int")
     assert {tuple(r) for r in graph.closure(edges).collect()} == {(a, b) for a in (1, 2, 3, 4) for b in (1, 2, 3)} | {(5, 5)}
-    with pytest.raises(graph.NotConverged):
-        graph.closure(spark.createDataFrame([(i, i + 1) for i in range(9)], "src int, dst int"), max_rounds=3)
+    assert graph.closure(edges.where("false")).count() == 0
+
+
+def test_closure_of_a_long_chain_and_of_any_graph(spark):
+    n = 300
+    chain = graph.closure(spark.createDataFrame([(i, i + 1) for i in range(n)], "src int, dst int"))
+    assert chain.count() == n * (n + 1) // 2 == chain.distinct().count()
+    r = random.Random(3)
+    edges = {(r.randrange(40), r.randrange(40)) for _ in range(50)} | {(100 + i, 100 + (i + 1) % 11) for i in range(11)}
+    reached = set(edges)
+    while more := {(a, d) for a, b in reached for c, d in edges if b == c} - reached:
+        reached |= more
+    assert {tuple(x) for x in graph.closure(spark.createDataFrame(sorted(edges), "src int, dst int")).collect()} == reached
 
 
 def test_last_declaration_counts(spark):
@@ -116,3 +130,30 @@ def test_stream_of_facts(spark, tmp_path):
     assert sorted((r.rule_key, r.class_name) for r in got) == [("final", "A\\ok_not"), ("studly", "A\\ok_not")]
     with pytest.raises(ValueError):
         streams.row_violations(nodes, {"x": R.MustBeFinal("L")})
+
+
+def test_a_failed_refresh_leaves_no_facts(spark, tmp_path):
+    from rulespan.sources.facts import TABLES, FactStore
+
+    files = spark.createDataFrame([("a.php", bytearray(b"<?php class A {}"), "1"), ("b.php", bytearray(b"<?php class B {}"), "2")], "file string, content binary, hash string")
+    store = FactStore(spark, str(tmp_path))
+
+    def broken(stale):
+        tables = extract(stale)
+        tables["analyses"] = tables["analyses"].select("file", F.raise_error(F.lit("lost")).cast("boolean").alias("has_utf8_bom"), *tables["analyses"].columns[2:])
+        return tables
+
+    with pytest.raises(Exception, match="lost"):
+        store.refresh(files, broken)
+    assert list(TABLES)[-1] == "analyses" and (tmp_path / "default" / "nodes").exists() and store.files().count() == 0 and store.read("nodes").count() == 0
+    for _ in range(2):
+        tables = store.refresh(files, extract)
+        assert sorted(r.class_name for r in tables["nodes"].collect()) == ["A", "B"] and tables["analyses"].count() == 2
+
+
+def test_a_baseline_holds_violations_without_class_file_or_layer(spark):
+    columns = "rule_key string, message string, file string, line int, class_name string, layer string"
+    found = spark.createDataFrame([("r", "File [/p/a.php] in /x/p/a.php", "/p/a.php", 1, None, None), ("r", "m", None, 1, None, "L"), ("r", "m", None, 1, "C", "L")], columns)
+    accepted = baseline.signatures(found.where("class_name IS NULL"), "/p")
+    assert {tuple(r) for r in accepted.collect()} == {("r", "File [a.php] in /x/p/a.php", "a.php", None, None), ("r", "m", None, None, "L")}
+    assert [r.class_name for r in baseline.without_accepted(found, accepted, "/p").collect()] == ["C"]

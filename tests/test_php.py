@@ -51,7 +51,7 @@ use Late\Import;
 
 
 @pytest.mark.parametrize("body,complexity", [
-    ("return match (true) { 1 => 2, 3 => 4, 5 => 6, default => 7 };", 5), ("switch ($a) { case 1: break; default: break; }", 3), ("do { $x ?: 1; } while ($a and $b);", 5),
+    ("return match (true) { 1 => 2, 3 => 4, 5 => 6, default => 7 };", 5), ("switch ($a) { case 1: break; default: break; }", 3), ("do { $x ?: 1; } while ($a and $b);", 4), ("do if ($x) {} while ($a); while ($b) {}", 4),
     ("foreach ($a as $b) for (;;) {} return $a ?? $b xor $c;", 3), ("$f = function () { if (1) {} elseif (2) {} else if (3) {} };", 4), ("new class { function x() { if (1) {} } };", 2), ("return $a?->b;", 1),
 ])
 def test_complexity(body, complexity):

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from rulespan.queries import QUERIES, SQL
+from rulespan.catalogue import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 

@@ -41,35 +41,31 @@ def seeds(flat: np.ndarray, mask: str, salt: int) -> np.ndarray:
 
 
 def index_items(items: list[tuple[int, bytes | None]], masks: tuple[str, ...]) -> dict:
-    """Sorted seed hashes of all items, with the item and place of each."""
+    """Sorted seed hashes of all items, with the item and place of each. Entries of one hash are sorted by the
+    hash at the place before, by its rank among all; -1 where there is none."""
     flat, starts = hashed_words([t for _, t in items], WordHashes())
-    keys, owners, places = [], [], []
+    keys, owners, places, before = [], [], [], []
     for number, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
         for salt, mask in enumerate(masks):
             own = seeds(flat[a:b], mask, salt)
             keys.append(own)
             owners.append(np.full(len(own), number, np.int64))
             places.append(np.arange(len(own), dtype=np.int64))
-    keys, owners, places = (np.concatenate([np.zeros(0, kind), *x]) for x, kind in ((keys, np.uint64), (owners, np.int64), (places, np.int64)))
-    order = np.argsort(keys, kind="stable")
+            before.append(own[:-1] if len(own) else own)
+    heads = np.concatenate([np.zeros(0, bool), *(np.arange(len(k)) == 0 for k in keys)]).astype(bool)
+    keys, owners, places, before = (np.concatenate([np.zeros(0, kind), *x]) for x, kind in ((keys, np.uint64), (owners, np.int64), (places, np.int64), (before, np.uint64)))
+    distinct, rank = np.unique(keys, return_inverse=True)
+    prior = np.full(len(keys), -1, np.int64)
+    prior[~heads] = np.searchsorted(distinct, before)
+    order = np.lexsort((prior, rank))
     size = 1 << max(16, int(len(keys) * 8).bit_length())
     seen = np.zeros(size, bool)
     seen[keys & U64(size - 1)] = True
-    return {"keys": keys[order], "owners": owners[order], "places": places[order],
+    # a place in ``codes`` stands for the pair of a hash and the hash before it
+    return {"distinct": distinct, "codes": (rank * (len(distinct) + 1) + prior + 1)[order], "owners": owners[order], "places": places[order],
             "flat": flat, "starts": starts, "ids": [i for i, _ in items], "filter": seen}
 
 
-def best_stretch(equal: np.ndarray, min_share: float) -> tuple[int, int]:
-    """The stretch of the aligned tokens with the highest score, where an equal token scores
-    ``1 - min_share`` and another ``-min_share``: [start, end), of equally good ones the first end and the
-    longest. Its share of equal tokens is ``min_share`` at least."""
-    gained = np.concatenate([[0.0], np.cumsum(np.where(equal, 1.0 - min_share, -min_share))])
-    lowest = np.minimum.accumulate(gained)
-    end = int(np.argmax(gained - lowest))
-    start = int(np.argmin(gained[: end + 1]))
-    return start, end
-
-
 def longest_stretch(equal: np.ndarray, min_share: float) -> tuple[int, int]:
     """The longest stretch of the aligned tokens whose share of equal ones is ``min_share`` at least:
     [start, end), of equally long ones that with more equal tokens, then the first; [0, 0) where there is none."""
@@ -82,44 +78,78 @@ def longest_stretch(equal: np.ndarray, min_share: float) -> tuple[int, int]:
     return int(start[end]), end
 
 
-def seed_hits(flat: np.ndarray, index: dict, masks: tuple[str, ...]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each mask: the places of ``flat`` that hit, and the range of index entries that each hits."""
+def spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges [first, last), and the range of each."""
+    n = last - first
+    owner = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + first[owner], owner
+
+
+def seed_hits(flat: np.ndarray, starts: np.ndarray, index: dict, masks: tuple[str, ...]) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each mask: text, item and number of hits; and text, item and shift of the alignments that are hit.
+
+    A hit that only goes on from one at the places before, in text and item, has the same alignment, and isn't
+    looked up: a word that is repeated n times in a text and m times in an item has n * m hits, but n + m are seen.
+    """
+    distinct, codes = index["distinct"], index["codes"]
+    base = len(distinct) + 1
     for salt, mask in enumerate(masks):
         own = seeds(flat, mask, salt)
         at = np.flatnonzero(index["filter"][own & U64(len(index["filter"]) - 1)])  # most places end here
-        first = np.searchsorted(index["keys"], own[at])
-        real = index["keys"][np.minimum(first, len(index["keys"]) - 1)] == own[at]
-        at, first = at[real], first[real]
-        yield mask, at, first, np.searchsorted(index["keys"], own[at], "right")
-
-
-def overlaps(flat: np.ndarray, starts: np.ndarray, index: dict, masks: tuple[str, ...], min_tokens: int, min_share: float, every_stretch: bool = False) -> Iterator[tuple]:
-    """(text number, item number, hits, start in the text, tokens, equal tokens) of each text's and item's best verified overlap."""
-    stretch = longest_stretch if every_stretch else best_stretch
-    if not len(index["keys"]):
-        return
-    aligned: dict[tuple[int, int, int], int] = {}
-    for mask, at, first, last in seed_hits(flat, index, masks):
         texts = np.searchsorted(starts, at, "right") - 1
         inside = at + len(mask) <= starts[texts + 1]
-        for text, place, a, b in zip(texts[inside].tolist(), at[inside].tolist(), first[inside].tolist(), last[inside].tolist(), strict=True):
-            for k in range(a, b):
-                key = (text, int(index["owners"][k]), place - int(starts[text]) - int(index["places"][k]))
-                aligned[key] = aligned.get(key, 0) + 1
-    best: dict[tuple[int, int], tuple] = {}
+        at, texts = at[inside], texts[inside]
+        rank = np.minimum(np.searchsorted(distinct, own[at]), len(distinct) - 1)
+        real = distinct[rank] == own[at]
+        at, texts, rank = at[real], texts[real], rank[real]
+        if not len(at):
+            continue
+        # how often each text hits each hash
+        pairs, times = np.unique(texts * base + rank, return_counts=True)
+        where, k = spread(np.searchsorted(codes, pairs % base * base), np.searchsorted(codes, (pairs % base + 1) * base))
+        hits = pairs[k] // base, index["owners"][where], times[k]
+        # the hash at the place before, of the same text
+        before = np.full(len(at), -1, np.int64)
+        later = at > starts[texts]
+        prior = np.minimum(np.searchsorted(distinct, own[at[later] - 1]), len(distinct) - 1)
+        before[later] = np.where(distinct[prior] == own[at[later] - 1], prior, -1)
+        first, last = np.searchsorted(codes, rank * base), np.searchsorted(codes, (rank + 1) * base)
+        goes_on = rank * base + before + 1
+        a = np.where(before < 0, first, np.searchsorted(codes, goes_on))
+        b = np.where(before < 0, first, np.searchsorted(codes, goes_on, "right"))
+        where, k = spread(np.concatenate([first, b]), np.concatenate([a, last]))
+        k %= len(at)
+        yield *hits, texts[k], index["owners"][where], at[k] - starts[texts[k]] - index["places"][where]
+
+
+def overlaps(flat: np.ndarray, starts: np.ndarray, index: dict, masks: tuple[str, ...], min_tokens: int, min_share: float) -> Iterator[tuple]:
+    """(text number, item number, hits, start in the text, tokens, equal tokens) of each text's and item's best verified overlap."""
+    if not len(index["distinct"]):
+        return
+    found = list(seed_hits(flat, starts, index, masks))
+    if not found:
+        return
     hits: dict[tuple[int, int], int] = {}
-    for (text, number, shift), n in sorted(aligned.items()):
-        pair = text, number
-        hits[pair] = hits.get(pair, 0) + n
+    for text, number, n in (x for f in found for x in zip(*(c.tolist() for c in f[:3]), strict=True)):
+        hits[text, number] = hits.get((text, number), 0) + n
+    aligned = np.unique(np.stack([np.concatenate([f[i] for f in found]) for i in (3, 4, 5)], 1), axis=0)
+    texts, numbers, shifts = aligned.T
+    lengths = index["starts"][numbers + 1] - index["starts"][numbers]
+    low, high = np.maximum(0, shifts), np.minimum(starts[texts + 1] - starts[texts], shifts + lengths)
+    # the longest alignments first; what can't be better than what is found isn't looked at
+    order = np.lexsort((shifts, low - high, numbers, texts))
+    best: dict[tuple[int, int], tuple] = {}
+    for text, number, shift, a, b in zip(*(x[order].tolist() for x in (texts, numbers, shifts, low, high)), strict=True):
+        top = best.get((text, number))
+        if top and (top[0] > b - a or top[0] == top[1] == b - a):
+            continue
         item = index["flat"][index["starts"][number] : index["starts"][number + 1]]
-        low, high = max(0, shift), min(int(starts[text + 1] - starts[text]), shift + len(item))
-        equal = flat[starts[text] + low : starts[text] + high] == item[low - shift : high - shift]
-        start, end = stretch(equal, min_share)
-        same = int(equal[start:end].sum())
+        equal = flat[starts[text] + a : starts[text] + b] == item[a - shift : b - shift]
+        start, end = longest_stretch(equal, min_share)
         # an item shorter than the least overlap counts if it is there in full length
-        if end - start >= min(min_tokens, len(item)) and same >= min_share * (end - start) - 1e-9:
-            found = (end - start, same, -(low + start))
-            best[pair] = max(best.get(pair, found), found)
+        if end - start >= min(min_tokens, len(item)):
+            one = (end - start, int(equal[start:end].sum()), -(a + start))
+            best[text, number] = max(top or one, one)
     for (text, number), (length, same, start) in sorted(best.items()):
         yield text, number, hits[text, number], -start, length, same
 
@@ -139,19 +169,18 @@ def _indexes(benchmark: DataFrame, item_id: str, item_text: str, masks: tuple[st
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
                   item_text: str = "text", masks: tuple[str, ...] = MASKS, min_tokens: int = MIN_TOKENS,
-                  min_share: float = MIN_SHARE, part_bytes: int = PART_BYTES, every_stretch: bool = False) -> DataFrame:
+                  min_share: float = MIN_SHARE, part_bytes: int = PART_BYTES) -> DataFrame:
     """One row per document and benchmark item that overlap: the document's id as ``doc_id``, then ``SCHEMA``.
 
     ``n_hits`` counts seed hits; ``overlap_start`` is the first overlapping token's place in the
     document, counted from 0; the longest overlap is told, then the one with more equal tokens,
-    then the first. With ``every_stretch``, any stretch of the aligned tokens that is long and equal
-    enough is an overlap; else only that of the highest score is looked at, so that a short equal run
-    may hide a longer overlap. Words are cut at ASCII white space and compared without regard to ASCII case.
+    then the first. Any stretch of the aligned tokens that is long and equal enough is an overlap. Words are
+    cut at ASCII white space and compared without regard to ASCII case.
 
     The benchmark goes to the executors in parts of at most ``part_bytes`` of text, one scan of the
     documents for each part; documents are neither shuffled nor gathered. Null or empty texts
     overlap with nothing, as do items without words; null ids are kept as null; repeated rows each
-    count; other columns are ignored, whatever their names. Items of fewer tokens than the shortest
+    count, as do items of one id; other columns are ignored, whatever their names. Items of fewer tokens than the shortest
     mask can't be hit.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).where("text is not null")
@@ -164,7 +193,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
             for batch in batches:
                 for chunk in chunks(batch, "text"):
                     flat, starts = hashed_words(byte_values(chunk.column("text")), known)
-                    found = list(overlaps(flat, starts, table, masks, min_tokens, min_share, every_stretch))
+                    found = list(overlaps(flat, starts, table, masks, min_tokens, min_share))
                     if found:
                         rows, numbers, n, start, length, same = zip(*found, strict=True)
                         yield pa.RecordBatch.from_arrays(
@@ -178,7 +207,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS,
-                  min_tokens: int = MIN_TOKENS, min_share: float = MIN_SHARE, part_bytes: int = PART_BYTES, every_stretch: bool = False) -> DataFrame:
+                  min_tokens: int = MIN_TOKENS, min_share: float = MIN_SHARE, part_bytes: int = PART_BYTES) -> DataFrame:
     """``docs``, all columns, without the rows that ``find_overlaps`` has an item for; one pass for each
     part of the benchmark, without a shuffle."""
     schema = docs.schema
@@ -191,7 +220,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
                 named = batch.rename_columns([f"c{i}" for i in range(batch.num_columns)])
                 for chunk in chunks(named, f"c{at}"):
                     flat, starts = hashed_words(byte_values(chunk.column(at)), known)
-                    leaked = {x[0] for x in overlaps(flat, starts, table, masks, min_tokens, min_share, every_stretch)}
+                    leaked = {x[0] for x in overlaps(flat, starts, table, masks, min_tokens, min_share)}
                     rows = [i for i in range(chunk.num_rows) if i not in leaked]
                     yield pa.RecordBatch.from_arrays(chunk.take(pa.array(rows, pa.int64())).columns, schema=batch.schema)
 

@@ -29,14 +29,26 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links of five-word shingles connect, the one with the smallest id."""
-    copies = jaccard_components(docs, width=5, num=80, den=100).where("component_id <> doc_id")
-    return docs.join(copies.select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of documents that links of five-word shingles connect, the one with the smallest id; a row
+    without an id stays only where no other has one, and of rows that repeat an id and its text one counts."""
+    docs = docs.select(*COLUMNS)
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL")
+    if ids.isEmpty():
+        copies = jaccard_components(docs, width=5, num=80, den=100).where("component_id <> doc_id")
+        return docs.join(copies.select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    # ids don't tell rows apart, but ids and texts do
+    rows = docs.withColumn("__row", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")))
+    found = jaccard_components(rows.select("__row", "text"), doc_id="__row", width=5, num=80, den=100).where("n_shingles > 0")
+    found = found.groupBy(F.col("doc_id").alias("__own")).agg(F.count("*").alias("n"), F.min("component_id").alias("__least"))
+    copies, repeated = found.where("__own <> __least").select("__own"), found.where("__own = __least AND n > 1").select("__own")
+    rows = rows.join(copies, F.col("__row") == F.col("__own"), "left_anti")
+    one = rows.join(repeated, F.col("__row") == F.col("__own"), "left_semi").dropDuplicates(["__row"])
+    return rows.join(repeated, F.col("__row") == F.col("__own"), "left_anti").unionByName(one).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap with no benchmark item."""
-    return decontaminate(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), every_stretch=True)
+    return decontaminate(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,15 +62,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; between stages, rows are Parquet files in the shared folder."""
+    """All stages over ``documents``; between stages, rows are Parquet files in the shared folder. The input of
+    the last stage stays there, as the result reads it. Empty tables give an empty result."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
-    for i, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if i == len(STAGES) - 1:
-            return out
+    for _, stage in STAGES[:-1]:
         path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
-        out.write.parquet(path)
-        if before:
-            delete_folder(spark, before)
+        try:
+            stage(spark, docs, sf_dir).write.parquet(path)
+        except BaseException:
+            delete_folder(spark, path)
+            raise
+        finally:
+            if before:
+                delete_folder(spark, before)
         docs, before = spark.read.parquet(path), path
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

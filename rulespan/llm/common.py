@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import html
+import re
+import shutil
 import tempfile
 from collections.abc import Iterator
 
@@ -19,6 +23,13 @@ CHUNK_BYTES = 2 << 20
 U64 = np.uint64
 
 
+def _temporary_folder() -> str:
+    """A folder that goes with the driver's process."""
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: that of ``spark.checkpoint.dir``; where that
     is unset, one in the warehouse, or in local mode a temporary one."""
@@ -27,7 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         if not folder:
             local = context.master.startswith("local[") or context.master == "local"
-            folder = tempfile.mkdtemp() if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+            folder = _temporary_folder() if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -130,6 +141,20 @@ def chunks(batch: pa.RecordBatch, text: str, most: int = CHUNK_BYTES) -> Iterato
         yield batch.slice(at)
 
 
+_ZEROS, _HUGE = re.compile("&#0+(?=[0-9])"), re.compile("&#[0-9]{8,};?")
+
+
+def bounded_references(page: str) -> str:
+    """The page with numeric references that stand for no character as U+FFFD, which is how they are decoded;
+    the standard library refuses to read very long ones."""
+    return _HUGE.sub("\ufffd", _ZEROS.sub("&#", page)) if "&#" in page else page
+
+
+def unescaped(text: str) -> str:
+    """The text with its character references decoded, however long their numbers are."""
+    return html.unescape(bounded_references(text))
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     """ASCII-lower-cased words, cut at the six ASCII white-space characters."""
     return text.lower().split() if text else []

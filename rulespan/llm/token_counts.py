@@ -25,16 +25,21 @@ TOKENIZERS, VOCABULARY = "/opt/tokenizers", "piece_bpe_32k.model"
 MARK = "▁"
 #: Trie nodes that a task keeps at most; then it starts afresh.
 MAX_NODES = 1_500_000
+#: Longer pre-tokens share no prefixes worth keeping: of them only the scores that a piece can reach are kept.
+LONG_TOKEN = 1000
 
 
 def load_pieces(path: str | None = None) -> list[str]:
-    """The ordinary pieces of a SentencePiece file, in the order of their ranks."""
+    """The ordinary pieces of a SentencePiece file that the driver can read, in the order of their ranks.
+    Without one, ``FileNotFoundError`` says which was looked for."""
     import sentencepiece
 
     if path is None:
         path = os.path.join(TOKENIZERS, VOCABULARY)
         if not os.path.exists(path) and (spec := importlib.util.find_spec("public_tokenizers")):
             path = os.path.join(os.path.dirname(spec.origin), VOCABULARY)
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"no vocabulary file at {path}; give another path, or the pieces themselves")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     return [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
 
@@ -69,6 +74,8 @@ class PreTokenTrie:
 
     def count(self, token: str) -> int:
         """Tokens of a pre-token's best segmentation."""
+        if len(token) > min(LONG_TOKEN, self.max_nodes):
+            return self._count_long(token)
         if len(self.best) + len(token) > self.max_nodes and len(self.best) > 1:
             self.clear()
         node, path = 0, [0]
@@ -83,6 +90,27 @@ class PreTokenTrie:
             path.append(node)
         return self.tokens[node]
 
+    def _count_long(self, token: str) -> int:
+        """The same outside the trie, with the scores of the last prefixes only."""
+        reach = self.longest
+        best, tokens = [0.0] * (reach + 1), [0] * (reach + 1)  # of the prefix of n characters at n % (reach + 1)
+        scores, size = self.scores, reach + 1
+        for i in range(len(token)):
+            top, count = -math.inf, 0
+            for j in range(max(0, i + 1 - reach), i + 1):
+                s = scores.get(token[j : i + 1])
+                if s is None:
+                    if j < i:
+                        continue
+                    s, n = self.unknown, len(token[i].encode("utf-8", "replace"))
+                else:
+                    n = 1
+                before = j % size
+                if best[before] + s > top:
+                    top, count = best[before] + s, tokens[before] + n
+            best[(i + 1) % size], tokens[(i + 1) % size] = top, count
+        return tokens[len(token) % size]
+
     def _extend(self, path: list[int], token: str, i: int) -> int:
         """A node for token[: i + 1], below ``path``; its score comes from those of its prefixes."""
         best, tokens, scores = self.best, self.tokens, self.scores
@@ -114,18 +142,22 @@ class _Counts(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.trie.max_nodes // 4:
             self.clear()
-        n = self[word] = self.trie.count(MARK + word.decode("utf-8", "replace"))
+        n = self.trie.count(MARK + word.decode("utf-8", "replace"))
+        if len(word) <= LONG_TOKEN:
+            self[word] = n
         return n
 
 
-def token_counts(docs: DataFrame, keys: list[str], *, text: str = "text", pieces: list[str] | None = None, max_nodes: int = MAX_NODES) -> DataFrame:
+def token_counts(docs: DataFrame, keys: list[str], *, text: str = "text", pieces: list[str] | None = None, vocabulary: str | None = None,
+                 max_nodes: int = MAX_NODES) -> DataFrame:
     """``keys``, then ``n_pretokens long, n_tokens long`` of every row's whole text.
 
     Pre-tokens are cut at ASCII white space and start with ``MARK``. Null and empty texts have no
-    tokens. Nothing is shuffled; a task's memory is bounded by ``max_nodes``, however many distinct
-    pre-tokens there are. Repeated rows each have their row; other columns are ignored.
+    tokens. ``pieces`` are those of the file ``vocabulary`` unless given, by default that of
+    ``TOKENIZERS``. Nothing is shuffled; a task's memory is bounded by ``max_nodes`` and one row's text,
+    however many distinct pre-tokens there are and however long they are. Repeated rows each have their row; other columns are ignored.
     """
-    scores = docs.sparkSession.sparkContext.broadcast(unigram_scores(load_pieces() if pieces is None else pieces))  # one vocabulary: a few MB
+    scores = docs.sparkSession.sparkContext.broadcast(unigram_scores(load_pieces(vocabulary) if pieces is None else pieces))  # one vocabulary: a few MB
     source = docs.select(*(F.col(k) for k in keys), F.col(text).cast("string").alias("__text"))
     types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1])
 

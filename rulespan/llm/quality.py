@@ -145,17 +145,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED,
     """A model of P(label = 1), from ``labels`` (doc_id, label) and the texts of ``docs`` (doc_id, text).
 
     At most about ``max_labelled`` labelled rows are used: with more, a share chosen by the ids'
-    hashes. Null labels and ids are left out, of a doc_id with several labels the largest counts,
+    hashes. Null labels and ids are left out, of a doc_id with several labels the largest counts, of one
+    with several texts the smallest,
     and without any usable row, or with one class only, every score is the labels' mean (0.5 with
     no label).
     """
     usable = labels.select(F.col("doc_id").alias("__id"), F.col("label").cast("double").alias("__label")).where("__id is not null and __label is not null")
+    usable = usable.groupBy("__id").agg(F.max("__label").alias("__label"))
     count = usable.count()
     if count > max_labelled:
         usable = usable.where(F.pmod(F.xxhash64(F.col("__id").cast("string")), F.lit(1_000_000)) < int(1_000_000 * max_labelled / count))
-    usable = usable.groupBy("__id").agg(F.max("__label").alias("__label"))
     # at most about max_labelled rows of two numbers: small by construction
     joined = docs.select("doc_id", "text").join(F.broadcast(usable), F.col("doc_id") == F.col("__id"))
+    # of the texts of an id one stands for all, so the sample stays bounded
+    joined = joined.groupBy("__id").agg(F.max("__label").alias("__label"), F.min("text").alias("text"))
     rows = described(joined.select(F.col("__label").alias("label"), F.pmod(F.crc32(F.concat(F.lit("fold "), F.col("__id").cast("string"))), F.lit(CALIBRATION_FOLDS)).cast("int").alias("fold"), "text"), ["label", "fold"])
     rows = rows.persist()
     try:

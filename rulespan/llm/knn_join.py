@@ -25,15 +25,15 @@ PIVOTS = (16, 512)
 GROUP_QUERIES, BLOCK_ROWS = 1024, 16_384
 
 
-def matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Lists of numbers as rows of doubles; shorter lists are filled with zeros."""
+def matrix(column: pa.Array, width: int, kind: type = float) -> np.ndarray:
+    """Lists of numbers as rows of doubles, or of another ``kind``; shorter lists are filled with zeros."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(kind)
     sizes = np.asarray(pa.compute.list_value_length(column).fill_null(0), np.int64) if len(column) else np.zeros(0, np.int64)
     if (sizes == width).all():
         return values.reshape(-1, width)
-    out = np.zeros((len(sizes), width))
+    out = np.zeros((len(sizes), width), kind)
     rows = np.repeat(np.arange(len(sizes)), sizes)
     starts = np.cumsum(sizes) - sizes
     out[rows, np.arange(len(values)) - np.repeat(starts, sizes)] = values
@@ -135,16 +135,22 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int, *, pivots: tuple[int,
     than ``k`` candidates are all given, and a query has no rows where there is none. A row is no
     candidate of a query with its own id. Rows with a null id or vector take no part; a vector that
     is shorter than another counts as filled up with zeros; rows that repeat an id count once, with
-    their best score. Exact while all inner products are below 2^53; other columns are ignored.
+    their best score. Scores are exact: doubles do while no two vectors' lengths multiply to 2^53, then
+    64-bit integers; from 2^62 on ``ValueError`` is raised. Other columns are ignored.
     """
     spark = data.sparkSession
     clean = lambda df: df.select(F.col("id").cast("long"), F.col("v").cast("array<bigint>")).where("id is not null and v is not null")
     data, queries = clean(data), clean(queries)
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     count, squared, width = data.agg(F.count("*"), F.max(square), F.max(F.size("v"))).first()
-    query_width = queries.agg(F.max(F.size("v"))).first()[0]
+    query_width, query_squared = queries.agg(F.max(F.size("v")), F.max(square)).first()
     if not count or query_width is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    # no partial sum of an inner product is larger
+    largest = (squared * query_squared) ** 0.5 * (1 + 1e-9)
+    if largest >= 2**62:
+        raise ValueError("inner products may not fit 64 bits; scale the vectors down")
+    kind = float if largest < 2**53 else np.int64
     width = max(width, query_width, 1)
     m = int(min(max(pivots[0], 2 * count**0.5), pivots[1]))
     # a bounded sample by hash; the same vector is a pivot once only
@@ -215,7 +221,7 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int, *, pivots: tuple[int,
     def solve(q: pa.Table, d: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
         if q.num_rows and d.num_rows:
-            a, b = matrix(q.column("v"), width), matrix(d.column("v"), width)
+            a, b = matrix(q.column("v"), width, kind), matrix(d.column("v"), width, kind)
             ids = d.column("id").to_numpy()
             for at in range(0, len(a), 256):
                 scores = a[at : at + 256] @ b.T

@@ -13,18 +13,21 @@ random tell nothing about most of them. Pivots are therefore elected where docum
    that share members are joined, so that every document is in one.
 3. A subregion is solved in one task: pivot by pivot, distances to a pivot link documents or, by
    triangle-inequality windows, exclude pairs; what is connected already is not compared again.
-   Regions too large for one task are first dealt over blocks that all meet the region's pivots;
-   then only documents outside the largest component found meet all blocks.
+
+In both steps, regions too large for one task are dealt over blocks that all meet the region's
+pivots; then only documents outside the largest component found meet all blocks. So a region of
+copies of one document costs what it holds, and not its square.
 
 Sets stand for themselves by 64-bit hashes of their content, so exact copies are one member
-wherever they are many. Hash collisions (odds of 2^-64 a pair) are the only inexactness.
+wherever they are many. Hash collisions (odds of 2^-64 a pair) are the only inexactness: among
+10^9 different sets 0.03 pairs are expected to be taken for one, among 10^10 about three.
 """
 
 from __future__ import annotations
 
 import bisect
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +40,8 @@ from rulespan.llm.common import U64, WordHashes, byte_values, chunks, cut, estim
 CLASS_RATIO = 1.3
 #: Ranges of a sketch: a power of two near a quarter of the shingles, in these bounds.
 RANGES = (64, 65536)
-#: One task compares the sketches of at most about twice so many members of a region.
-SPLIT_MEMBERS = 1500
+#: One task compares the sketches of at most about so many members of a region, or twice so many of a large one.
+SPLIT_MEMBERS = 1000
 #: A region that one task solves has at most so many members and shingles in all.
 REGION_MEMBERS, REGION_SHINGLES = 1000, 1_000_000
 #: Pivots that a larger region's blocks meet first.
@@ -218,12 +221,45 @@ def folded(counts: np.ndarray, ranges: int) -> np.ndarray:
     return counts.reshape(ranges, -1).sum(1, dtype=np.int32)
 
 
-def possible_links(sketches: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Pairs that connect what all pairs connect that the sketches don't tell apart."""
+def near_in_sketches(sketches: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -> Callable[[np.ndarray, int], list[int]]:
+    """Of one set's sketch and size, the places of those in ``sketches`` that it doesn't tell apart."""
+    coarse = np.array([folded(x, RANGES[0]) for x in sketches]).reshape(len(sketches), RANGES[0])
+
+    def near(own: np.ndarray, size: int) -> list[int]:
+        both = sizes + size
+        apart = np.abs(coarse - folded(own, RANGES[0])).sum(1)
+        out = []
+        for i in np.flatnonzero((both - apart) * den >= num * (both + apart)).tolist():
+            ranges = min(len(own), len(sketches[i]))
+            d = int(np.abs(folded(own, ranges) - folded(sketches[i], ranges)).sum()) if ranges > RANGES[0] else int(apart[i])
+            if (int(both[i]) - d) * den >= num * (int(both[i]) + d):
+                out.append(i)
+        return out
+
+    return near
+
+
+def near_in_sets(sets: list[np.ndarray], num: int, den: int) -> Callable[[np.ndarray], list[int]]:
+    """Of one set, the places of those in ``sets`` that it is linked with."""
+    sizes = np.array([len(s) for s in sets])
+    starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+
+    def near(own: np.ndarray) -> list[int]:
+        inter = _intersections(own, flat, starts)
+        return np.flatnonzero(den * inter >= num * (len(own) + sizes - inter)).tolist()
+
+    return near
+
+
+def possible_links(sketches: list[np.ndarray], sizes: np.ndarray, num: int, den: int, only: int | None = None) -> list[tuple[int, int]]:
+    """Pairs that connect what all pairs connect that the sketches don't tell apart. ``only``: pairs with at
+    least one of the first so many sketches."""
     parent = list(range(len(sizes)))
     order = np.argsort(sizes, kind="stable").tolist()
     ordered = sizes[order]
     coarse = np.array([folded(sketches[i], RANGES[0]) for i in order]).reshape(len(order), RANGES[0])
+    wanted = np.array(order) < (len(order) if only is None else only)
     links = []
     for i, a in enumerate(order):
         # sizes' windows first: a partner is at most 1 / threshold times as large
@@ -232,7 +268,7 @@ def possible_links(sketches: list[np.ndarray], sizes: np.ndarray, num: int, den:
             continue
         both = ordered[i + 1 : end] + ordered[i]
         apart = np.abs(coarse[i + 1 : end] - coarse[i]).sum(1)
-        for j in np.flatnonzero((both - apart) * den >= num * (both + apart)).tolist():
+        for j in np.flatnonzero(((both - apart) * den >= num * (both + apart)) & (wanted[i + 1 : end] | wanted[i])).tolist():
             b = order[i + 1 + j]
             if root(parent, a) == root(parent, b):
                 continue
@@ -343,25 +379,24 @@ def _solved(members: DataFrame, num: int, den: int) -> DataFrame:
     return members.groupBy("region").applyInArrow(solve, "a long, b long")
 
 
-def _solved_in_blocks(members: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) of the links in regions too large for one task. ``members``: (region, sid, n, shingles);
-    ``n``: into how many blocks the region is dealt."""
-    members = members.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("n")))
+def _linked_in_blocks(members: DataFrame, near: Callable, links: Callable) -> DataFrame:
+    """(a, b) of links in regions too large for one task, that connect what all links connect.
+
+    ``members``: (region, sid, blocks, size, packed): into how many blocks the region is dealt, and a set by its
+    size and content. ``near`` of a block's sizes and contents is a function of one size and content that gives
+    the places of its partners; ``links`` of sizes, contents and a number gives the links of the first so many.
+    """
+    members = members.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
     order = Window.partitionBy("region").orderBy(F.xxhash64("sid", F.lit(1)), "sid")
-    pivots = members.withColumn("i", F.row_number().over(order)).where(F.col("i") <= BLOCK_PIVOTS)
-    everywhere = lambda df: df.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    pivots = members.withColumn("i", F.row_number().over(order)).where(F.col("i") <= BLOCK_PIVOTS).drop("i")
+    everywhere = lambda df: df.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     # the second side of a cogroup gets columns of its own: both come from the same rows
     other = lambda df: df.toDF(*(f"o_{c}" for c in df.columns))
-    unpack = lambda t, name="shingles": [np.frombuffer(x, np.uint64) for x in t.column(name).to_pylist()]
+    held = lambda t, prefix="": (np.array(t.column(f"{prefix}size").to_pylist(), np.int64), t.column(f"{prefix}packed").to_pylist())
 
     def meet(block: pa.Table, chosen: pa.Table) -> pa.Table:
-        ids, pivot_ids, sets = block.column("sid").to_pylist(), chosen.column("o_sid").to_pylist(), unpack(block)
-        sizes, starts = np.array([len(s) for s in sets]), np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
-        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        out: list[tuple] = []
-        for p, s in zip(pivot_ids, unpack(chosen, "o_shingles"), strict=True):
-            inter = _intersections(s, flat, starts)
-            out += [(p, ids[i]) for i in np.flatnonzero(den * inter >= num * (len(s) + sizes - inter)).tolist()]
+        ids, partners = block.column("sid").to_pylist(), near(*held(block))
+        out = [(p, ids[i]) for p, size, own in zip(chosen.column("o_sid").to_pylist(), *held(chosen, "o_"), strict=True) for i in partners(int(size), own)] if ids else []
         region = block.column("region")[0].as_py() if ids else 0
         return pa.table([pa.array([region] * len(out), pa.int64()), *(pa.array([x[k] for x in out], pa.int64()) for k in (0, 1))], names=["region", "a", "b"])
 
@@ -376,31 +411,61 @@ def _solved_in_blocks(members: DataFrame, num: int, den: int) -> DataFrame:
 
     def cross(few: pa.Table, block: pa.Table) -> pa.Table:
         ids = few.column("sid").to_pylist() + block.column("o_sid").to_pylist()
-        return stars(ids, local_links([*unpack(few), *unpack(block, "o_shingles")], num, den, only=few.num_rows))
+        (sizes, contents), (more, others) = held(few), held(block, "o_")
+        return stars(ids, links(np.concatenate([sizes, more]), contents + others, few.num_rows))
 
     spread = everywhere(loose).groupBy("region", "own", "block")
-    against = everywhere(members.withColumn("other", F.col("block"))).select("region", F.col("block").alias("own"), F.col("other").alias("block"), "sid", "shingles")
+    against = everywhere(members.withColumn("other", F.col("block"))).select("region", F.col("block").alias("own"), F.col("other").alias("block"), "sid", "size", "packed")
     against = against.join(loose.select("region", "own").distinct(), ["region", "own"], "left_semi").repartition("region", "own", "block")
     found = spread.cogroup(other(against).groupBy("o_region", "o_own", "o_block")).applyInArrow(cross, "a long, b long")
     return met.select("a", "b").unionByName(found)
 
 
+def _unpacked(contents: list[bytes], kind: type) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind) for x in contents]
+
+
+def _solved_in_blocks(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of the links in regions too large for one task. ``members``: (region, sid, n, shingles);
+    ``n``: into how many blocks the region is dealt."""
+
+    def near(sizes: np.ndarray, contents: list[bytes]) -> Callable:
+        partners = near_in_sets(_unpacked(contents, np.uint64), num, den)
+        return lambda size, own: partners(np.frombuffer(own, np.uint64))
+
+    def links(sizes: np.ndarray, contents: list[bytes], only: int) -> list[tuple[int, int]]:
+        return local_links(_unpacked(contents, np.uint64), num, den, only=only)
+
+    return _linked_in_blocks(members.select("region", "sid", F.col("n").alias("blocks"), F.octet_length("shingles").alias("size"), F.col("shingles").alias("packed")), near, links)
+
+
 def _subregions(members: DataFrame, num: int, den: int, split_members: int) -> DataFrame:
     """(region, sid): disjoint regions of at least two members, without links between them.
-    ``members``: (region, sid, n, sketch). Larger regions are dealt into blocks, and each two blocks meet."""
+    ``members``: (region, sid, n, sketch)."""
     # written, so that the join's sides are plain shuffles, of which a large region's can be split
     counted = cut(members.groupBy("region").agg(F.ceil(F.count("*") / split_members).alias("blocks")))
-    dealt = members.join(counted, "region").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid", "n", "sketch")
+    large = counted.where("blocks > 1")
 
     def link(group: pa.Table) -> pa.Table:
-        ids = group.column("sid").to_pylist()
-        return stars(ids, possible_links([np.frombuffer(x, np.uint8) for x in group.column("sketch").to_pylist()], np.array(group.column("n").to_pylist(), np.int64), num, den))
+        sizes = np.array(group.column("n").to_pylist(), np.int64)
+        return stars(group.column("sid").to_pylist(), possible_links(_unpacked(group.column("sketch").to_pylist(), np.uint8), sizes, num, den))
+
+    if large.isEmpty():
+        edges = members.groupBy("region").applyInArrow(link, "a long, b long")
+    else:
+
+        def near(sizes: np.ndarray, contents: list[bytes]) -> Callable:
+            partners = near_in_sketches(_unpacked(contents, np.uint8), sizes, num, den)
+            return lambda size, own: partners(np.frombuffer(own, np.uint8), size)
+
+        def links(sizes: np.ndarray, contents: list[bytes], only: int) -> list[tuple[int, int]]:
+            return possible_links(_unpacked(contents, np.uint8), sizes, num, den, only=only)
 
-    # dealt anew, else all blocks of a region would stay in the task that counted it
-    roots = components(dealt.repartition("region", "i", "j").groupBy("region", "i", "j").applyInArrow(link, "a long, b long"))
-    return roots.select(F.col("root").alias("region"), F.col("node").alias("sid"))
+        dealt = members.join(counted, "region")
+        # dealt anew, else the large regions' rows would stay in the tasks of their join
+        edges = dealt.where("blocks = 1").drop("blocks").repartition("region").groupBy("region").applyInArrow(link, "a long, b long")
+        edges = edges.unionByName(_linked_in_blocks(cut(dealt.where("blocks > 1").select("region", "sid", "blocks", F.col("n").alias("size"), F.col("sketch").alias("packed"))), near, links))
+    return components(edges).select(F.col("root").alias("region"), F.col("node").alias("sid"))
 
 
 def jaccard_components(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text",

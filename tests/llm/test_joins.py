@@ -60,6 +60,26 @@ def test_knn_of_an_id_with_many_rows(spark):
     assert knn(spark, queries, data, 3, pivots=(200, 200), group_queries=1) == brute_knn(queries, data, 3)
 
 
+@pytest.mark.parametrize("repeats,options", [(600, {}), (600, {"group_queries": 4, "block_rows": 64}), (40, {"pivots": (32, 64), "group_queries": 2, "block_rows": 16})])
+def test_knn_of_ids_that_repeat_around_axes(spark, repeats, options):
+    r = random.Random(repeats)
+    axis = lambda: [1000 if k == a else r.randint(-30, 30) for a in [r.randrange(15)] for k in range(15)]
+    data = [(1, [1000 if k == 0 else r.randint(-30, 30) for k in range(15)]) for _ in range(repeats)] + [(i, axis()) for i in range(2, 602)]
+    data += [(i, axis()) for i in range(2, 40) for _ in range(r.randint(0, 20))]
+    queries = [(1, [1000] + [0] * 14), (2, data[repeats][1]), (900, [0] * 14 + [1000])]
+    assert knn(spark, queries, data, 5, **options) == brute_knn(queries, data, 5)
+
+
+def test_knn_scores_beyond_doubles(spark):
+    r = random.Random(6)
+    data = [(i, [r.randint(-(10**9), 10**9) for _ in range(4)]) for i in range(200)]
+    data += [(1000 + i, [10**9, 10**9, 10**9 - 1, i]) for i in range(5)]
+    queries = [(1000, [10**9, 10**9, 10**9, 1]), *data[:5]]
+    assert knn(spark, queries, data, 4) == brute_knn(queries, data, 4)
+    with pytest.raises(ValueError):
+        knn(spark, queries, [(1, [2**62, 2**62])], 1)
+
+
 def test_knn_odd_rows(spark):
     data = [(1, [1, 0]), (1, [5, 0]), (2, None), (None, [9, 9]), (3, [2]), (4, [-1, 0, 4]), (5, []), (5, [])]
     queries = [(1, [1, 1]), (7, [1, 0, 1]), (8, None), (None, [1])]
@@ -117,6 +137,37 @@ def test_jaccard_equals_brute_force(spark, options, width, num):
     assert sorted(map(tuple, got)) == brute_components(docs, width, num, 100)
 
 
+def test_a_region_of_many_copies_takes_linear_work(spark):
+    from rulespan.llm import jaccard_join
+
+    def rows_out(n):
+        r = random.Random(n)
+        base = [f"w{k}" for k in range(80)]
+        copies = []
+        for i in range(n):
+            own = list(base)
+            own[r.randrange(80)] = f"x{i}"
+            copies.append((i, " ".join(own)))
+        members = spark.createDataFrame(copies, "doc_id long, text string")
+        described = jaccard_join._described(members, 5).select(F.lit(7).cast("long").alias("region"), "sid", "n", "sketch")
+        seen = spark.sparkContext.accumulator(0)
+        plain = jaccard_join.possible_links
+
+        def counted(sketches, *rest, **named):
+            seen.add(len(sketches))
+            return plain(sketches, *rest, **named)
+
+        jaccard_join.possible_links = counted
+        try:
+            regions = jaccard_join._subregions(jaccard_join.cut(described), 80, 100, 50)
+            assert regions.select("region").distinct().count() == 1 and regions.count() == n
+        finally:
+            jaccard_join.possible_links = plain
+        return seen.value
+
+    assert rows_out(1600) < 1600 * 4
+
+
 def test_jaccard_odd_rows(spark):
     rows = [(1, None, "z"), (2, "", "z"), (3, "a b c d e", "z"), (3, "a b c d e", None), (None, "a b c d e", "z"), (4, "a\tB c\x0bd\x0ce " * 3000, "y"), (5, "İ ß ﬁ", "x"), (6, "i̇ ß ﬁ", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, component_id string").withColumn("n", F.lit(1)).withColumn("sid", F.lit("x"))

@@ -94,6 +94,29 @@ def test_line_stage_keeps_what_little_is_left(spark):
     assert out == {**{k: texts[k] for k in range(9)}, 50: passages[0], 51: words("tail", 20)}
 
 
+def table(spark, rows):
+    return spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    a, b, c = words("a", 60), words("b", 60), words("c", 60)
+    rows = [(1, a), (1, a), (1, b), (None, a), (None, c), (None, c + " x"), (None, None), (2, b), (3, ""), (3, ""), (4, "x " + b), (5, None), (6, "alone")]
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, table(spark, rows), SF).collect()]
+    assert sorted(x for x in out if x[0] is not None and x[1]) == [(1, a), (1, b), (6, "alone")]
+    assert len([x for x in out if x[0] is None and x[1]]) == 1 and out.count((3, "")) == 2 and out.count((5, None)) == 1 and out.count((None, None)) == 1
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark):
+    a = words("a", 60)
+    rows = [(None, a), (None, "other words"), (7, None), (7, ""), (8, a), (8, "unlike text of the same id " + words("b", 70)), (9, "x" * 200_000), (8, a)]
+    docs = table(spark, rows)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert set(corpus_pipeline.COLUMNS) <= set(out.columns) and {(r.doc_id, r.text) for r in out.select("doc_id", "text").collect()} <= set(rows), name
+        empty = stage(spark, docs.where("false"), SF)
+        assert empty.columns == out.columns and empty.count() == 0, name
+
+
 def test_names():
     assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in QUERIES)] == [] and set(SQL) <= set(QUERIES)
     assert len(list(itertools.chain(corpus_pipeline.STAGES))) == 5

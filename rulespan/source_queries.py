@@ -9,12 +9,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulespan import rules as R
-from rulespan import schemas
+from rulespan import cli, rules as R
 from rulespan.functions import predicates as P
 from rulespan.operators import baseline, graph, incremental, psr4
 from rulespan.operators.graph import shared_folder
-from rulespan.plans import analysis, fixes, presets
+from rulespan.plans import analysis, fixes, presets, report
 from rulespan.plans.architecture import Architecture
 from rulespan.queries import REGIONS, _EDGES, _PAGE_FILE, _PARTIES, _PART_RUN, _RULESET_SQL, _TALK, _as_nodes, _flagship, _pages, _part_run, _t, _told, _turns, query
 from rulespan.rules.base import Facts
@@ -382,3 +381,27 @@ def scan_files(spark, sf_dir):
         scan.write_file(spark, f"{base}/{name}", str(i + 1).encode())
     files = scan.scan(spark, [".", "d", "missing"], base_path=base, skip=["skip", "_skip/*"])
     return files.select(F.regexp_extract("file", r"/scan-[0-9a-f-]+/(.*)", 1).alias("file"), F.decode("content", "UTF-8").alias("content"))
+
+
+PROJECT = {
+    "composer.json": '{"autoload": {"psr-4": {"App\\\\": "src/"}}, "autoload-dev": {"psr-4": {"Tests\\\\": "tests"}}}',
+    "src/Good.php": "<?php\nnamespace App;\nclass Good { public function run(): int { return 1; } }\n", "src/bad_one.php": "<?php\nnamespace App;\nclass bad_one {\n    const low = 1;\n    function Run() {}\n}\n",
+    "tests/_Hidden.php": "<?php\nnamespace Tests;\nclass Hidden_ {}\n", "other/Unmapped.php": "<?php class unmapped {}",
+}
+
+
+@query(r"""SELECT * FROM (VALUES
+  ('psr12.constants.must_declare_visibility', 'Constant [App\bad_one::low] must declare an explicit visibility (public, protected, or private)', 'src/bad_one.php', 4, 'Source', 1), ('psr12.methods.must_declare_visibility', 'Method [App\bad_one::Run()] must declare an explicit visibility (public, protected, or private)', 'src/bad_one.php', 5, 'Source', 1),
+  ('psr1.class_constants.must_be_upper_case', 'Class constant [App\bad_one::low] must be declared in upper case with underscore separators', 'src/bad_one.php', 4, 'Source', 1), ('psr1.methods.must_be_camel_case', 'Method [App\bad_one::Run()] must be declared in camelCase', 'src/bad_one.php', 5, 'Source', 1),
+  ('psr1.classes.must_be_studly_caps', 'Class [App\bad_one] must be declared in StudlyCaps', 'src/bad_one.php', 3, 'Source', 1), ('psr1.classes.must_be_studly_caps', 'Class [Tests\Hidden_] must be declared in StudlyCaps', 'tests/_Hidden.php', 3, 'Source', 1),
+  ('psr4.classes.must_match_composer', 'Class [Tests\Hidden_] must match PSR-4 class [Tests\_Hidden]', 'tests/_Hidden.php', 3, 'Source', 1)) AS v(rule_key, message, file, line, layer, exit_code)""".replace("\\\\", "\\"))
+def project_run(spark, sf_dir):
+    # without paths, the source layer and what is scanned are what the project's mapping names
+    base = f"{shared_folder(spark)}/project-{uuid.uuid4()}".removeprefix("file:")
+    for name, text in PROJECT.items():
+        scan.write_file(spark, f"{base}/{name}", text.encode())
+    architecture = Architecture().with_preset(presets.Psr12())
+    result = analysis.run(architecture, cli.project_facts(spark, architecture, base))
+    told = report.console_report(result)
+    rows = [(r.rule_key, r.message, r.file.removeprefix(base + "/"), r.line, r.layer, result.exit_code) for r in result.violations if f"[{r.rule_key}]" in told and f"{r.file}:{r.line}" in told]
+    return spark.createDataFrame(rows, "rule_key string, message string, file string, line int, layer string, exit_code int")

@@ -46,11 +46,15 @@ def _raked_rows(rows: list, dimensions: list[str], targets: Mapping[str, Mapping
     return weights
 
 
-def _raked_frame(cells: DataFrame, dimensions: list[str], targets: Mapping[str, Mapping], rounds: int) -> DataFrame:
+def _raked_frame(cells: DataFrame, dimensions: list[str], targets: Mapping[str, Mapping | DataFrame], rounds: int) -> DataFrame:
     spark, out, done = cells.sparkSession, cells.withColumn("weight", F.col("tokens").cast("double")), 0
     for _ in range(rounds):
         for name in dimensions:
-            goal = spark.createDataFrame([(v, None if t is None else float(t)) for v, t in targets[name].items()], f"__value {cells.schema[name].dataType.simpleString()}, __target double")
+            goal = targets[name]
+            if isinstance(goal, DataFrame):
+                goal = goal.toDF("__value", "__target")
+            else:
+                goal = spark.createDataFrame([(v, None if t is None else float(t)) for v, t in goal.items()], f"__value {cells.schema[name].dataType.simpleString()}, __target double")
             sums = out.groupBy(name).agg(F.sum("weight").alias("__now")).join(goal, F.col(name).eqNullSafe(F.col("__value")))
             sums = sums.select(F.col(name).alias("__of"), "__now", "__target")
             goals, total = sums.agg(F.sum("__target"), F.sum("__now")).first()
@@ -76,14 +80,15 @@ def _scale(sums, budget: float) -> float:
 def calibrated(cells: DataFrame, targets: Mapping[str, Mapping], *, rounds: int = ROUNDS, keep: float = KEEP, local_cells: int = LOCAL_CELLS) -> tuple[DataFrame, bool]:
     """``cells`` (the dimensions in ``targets`` and ``tokens``) with ``weight`` and ``probability``, and whether they are few.
 
-    ``targets``: of each dimension value -> target share, raked in this order ``rounds`` times, so
+    ``targets``: of each dimension value -> target share, or a table of both for very many values, raked in this order ``rounds`` times, so
     the last dimension fits best. Values without a target keep the share that they have, and the
     others' targets are scaled to the rest; a null is a value like others.
     """
     dimensions = list(targets)
     cells = cells.select(*dimensions, F.col("tokens").cast("long"))
-    rows = cells.limit(local_cells + 1).collect()
-    if len(rows) <= local_cells:
+    many = any(isinstance(t, DataFrame) for t in targets.values())
+    rows = [] if many else cells.limit(local_cells + 1).collect()
+    if not many and len(rows) <= local_cells:
         rows.sort(key=lambda r: [(r[n] is None, r[n]) for n in dimensions])
         weights = _raked_rows(rows, dimensions, targets, rounds)
         budget = keep * sum(r.tokens for r in rows)
@@ -108,10 +113,15 @@ def calibrated(cells: DataFrame, targets: Mapping[str, Mapping], *, rounds: int
     return out.withColumn("probability", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("weight") * scale / F.col("tokens"))).otherwise(0.0)), False
 
 
-def tempered(cells: DataFrame, dimension: str, power: float = 0.5) -> dict:
-    """Target shares in proportion to a power of each value's tokens (1: as they are, 0: all alike).
-    For dimensions of few values, such as sources."""
-    rows = cells.groupBy(dimension).agg(F.sum("tokens").alias("t")).collect()
+def tempered(cells: DataFrame, dimension: str, power: float = 0.5, *, local_values: int = LOCAL_CELLS) -> dict | DataFrame:
+    """Target shares in proportion to a power of each value's tokens (1: as they are, 0: all alike); of more than
+    ``local_values`` values a table of (value, share), which stays distributed."""
+    shares = cells.groupBy(dimension).agg(F.sum("tokens").alias("t"))
+    rows = shares.limit(local_values + 1).collect()
+    if len(rows) > local_values:
+        shares = cut(shares.withColumn("t", F.pow("t", F.lit(power))))
+        total = shares.agg(F.sum("t")).first()[0] or 1.0
+        return shares.select(dimension, (F.col("t") / total).alias("share"))
     total = sum(r.t**power for r in rows) or 1.0
     return {r[dimension]: r.t**power / total for r in rows}
 

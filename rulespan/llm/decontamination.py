@@ -24,6 +24,8 @@ MASKS = ("111111", "1110111", "110110011", "1010011011")
 MIN_TOKENS, MIN_SHARE = 13, 0.75
 #: The benchmark goes to every executor in parts of at most so many bytes of text (an index is about 16 times as large).
 PART_BYTES = 4 << 20
+#: Parts that are probed in one scan of the documents; a task holds so many indexes.
+PARTS_A_SCAN = 4
 
 SCHEMA = "item_id long, n_hits int, overlap_start int, overlap_tokens int, equal_tokens int"
 
@@ -154,8 +156,8 @@ def overlaps(flat: np.ndarray, starts: np.ndarray, index: dict, masks: tuple[str
         yield text, number, hits[text, number], -start, length, same
 
 
-def _indexes(benchmark: DataFrame, item_id: str, item_text: str, masks: tuple[str, ...], part_bytes: int) -> list:
-    """Broadcast indexes of the benchmark's parts, each of at most about ``part_bytes`` of text."""
+def _indexes(benchmark: DataFrame, item_id: str, item_text: str, masks: tuple[str, ...], part_bytes: int) -> list[list]:
+    """Broadcast indexes of the benchmark's parts, each of at most about ``part_bytes`` of text, by scan."""
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-int(total) // part_bytes))
@@ -164,7 +166,7 @@ def _indexes(benchmark: DataFrame, item_id: str, item_text: str, masks: tuple[st
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) if parts > 1 else items
         texts = sorted(((r.item_id, r.text.encode()) for r in rows.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         out.append(benchmark.sparkSession.sparkContext.broadcast(index_items(texts, masks)))
-    return out
+    return [out[i : i + PARTS_A_SCAN] for i in range(0, len(out), PARTS_A_SCAN)]
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
@@ -178,7 +180,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
     cut at ASCII white space and compared without regard to ASCII case.
 
     The benchmark goes to the executors in parts of at most ``part_bytes`` of text, one scan of the
-    documents for each part; documents are neither shuffled nor gathered. Null or empty texts
+    documents for every ``PARTS_A_SCAN`` parts; documents are neither shuffled nor gathered. Null or empty texts
     overlap with nothing, as do items without words; null ids are kept as null; repeated rows each
     count, as do items of one id; other columns are ignored, whatever their names. Items of fewer tokens than the shortest
     mask can't be hit.
@@ -186,20 +188,21 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).where("text is not null")
     id_type = own.schema["doc_id"].dataType.simpleString()
     out = None
-    for index in _indexes(benchmark, item_id, item_text, masks, part_bytes):
+    for indexes in _indexes(benchmark, item_id, item_text, masks, part_bytes):
 
-        def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            known, table = WordHashes(), index.value
+        def search(batches: Iterator[pa.RecordBatch], indexes=indexes) -> Iterator[pa.RecordBatch]:
+            known = WordHashes()
             for batch in batches:
                 for chunk in chunks(batch, "text"):
                     flat, starts = hashed_words(byte_values(chunk.column("text")), known)
-                    found = list(overlaps(flat, starts, table, masks, min_tokens, min_share))
-                    if found:
-                        rows, numbers, n, start, length, same = zip(*found, strict=True)
-                        yield pa.RecordBatch.from_arrays(
-                            [chunk.column("doc_id").take(pa.array(rows)), pa.array([table["ids"][k] for k in numbers], pa.int64()),
-                             *(pa.array(x, pa.int32()) for x in (n, start, length, same))],
-                            names=["doc_id", "item_id", "n_hits", "overlap_start", "overlap_tokens", "equal_tokens"])
+                    for table in (x.value for x in indexes):
+                        found = list(overlaps(flat, starts, table, masks, min_tokens, min_share))
+                        if found:
+                            rows, numbers, n, start, length, same = zip(*found, strict=True)
+                            yield pa.RecordBatch.from_arrays(
+                                [chunk.column("doc_id").take(pa.array(rows)), pa.array([table["ids"][k] for k in numbers], pa.int64()),
+                                 *(pa.array(x, pa.int32()) for x in (n, start, length, same))],
+                                names=["doc_id", "item_id", "n_hits", "overlap_start", "overlap_tokens", "equal_tokens"])
 
         found = own.mapInArrow(search, f"doc_id {id_type}, {SCHEMA}")
         out = found if out is None else out.unionByName(found)
@@ -208,19 +211,19 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS,
                   min_tokens: int = MIN_TOKENS, min_share: float = MIN_SHARE, part_bytes: int = PART_BYTES) -> DataFrame:
-    """``docs``, all columns, without the rows that ``find_overlaps`` has an item for; one pass for each
-    part of the benchmark, without a shuffle."""
+    """``docs``, all columns, without the rows that ``find_overlaps`` has an item for; in as many scans, without a
+    shuffle."""
     schema = docs.schema
     at = schema.names.index(text)
-    for index in _indexes(benchmark, item_id, item_text, masks, part_bytes):
+    for indexes in _indexes(benchmark, item_id, item_text, masks, part_bytes):
 
-        def keep(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            known, table = WordHashes(), index.value
+        def keep(batches: Iterator[pa.RecordBatch], indexes=indexes) -> Iterator[pa.RecordBatch]:
+            known = WordHashes()
             for batch in batches:
                 named = batch.rename_columns([f"c{i}" for i in range(batch.num_columns)])
                 for chunk in chunks(named, f"c{at}"):
                     flat, starts = hashed_words(byte_values(chunk.column(at)), known)
-                    leaked = {x[0] for x in overlaps(flat, starts, table, masks, min_tokens, min_share)}
+                    leaked = {x[0] for index in indexes for x in overlaps(flat, starts, index.value, masks, min_tokens, min_share)}
                     rows = [i for i in range(chunk.num_rows) if i not in leaked]
                     yield pa.RecordBatch.from_arrays(chunk.take(pa.array(rows, pa.int64())).columns, schema=batch.schema)
 

@@ -224,6 +224,16 @@ def test_raked_weights_meet_the_targets(spark):
         assert key(a) == key(b) and math.isclose(a.weight, b.weight, rel_tol=1e-9) and math.isclose(a.probability, b.probability, rel_tol=1e-9)
 
 
+def test_shares_of_very_many_values_stay_distributed(spark):
+    cells = spark.createDataFrame([(f"s{i}" if i else None, "x" if i % 2 else "y", 1 + i * i % 97) for i in range(60)], "source string, lang string, tokens long")
+    near, far = source_mixing.tempered(cells, "source"), source_mixing.tempered(cells, "source", local_values=5)
+    assert {r.source: round(r.share, 12) for r in far.collect()} == {k: round(v, 12) for k, v in near.items()}
+    a, b = (source_mixing.calibrated(cells, {"lang": {"x": 0.5, "y": 0.5}, "source": t}, rounds=3)[0] for t in (near, far))
+    key = lambda r: (r.source or "", r.lang)
+    for x, y in zip(sorted(a.collect(), key=key), sorted(b.collect(), key=key), strict=True):
+        assert key(x) == key(y) and math.isclose(x.probability, y.probability, rel_tol=1e-9)
+
+
 def test_mix_odd_rows(spark):
     data = [(i, None if i % 7 == 0 else f"s{i % 3}", "en" if i % 2 else None, "t", i % 50 if i % 11 else None, 0.5) for i in range(500)] + [(1, "s1", "en", "t", 1, 0.5)]
     df = spark.createDataFrame(data, "doc_id long, source string, lang string, topic string, n_tokens long, probability double")
@@ -435,12 +445,17 @@ def test_versions_equal_brute_force(spark):
 def brute_overlaps(doc, item, least=13, share=0.75):
     """(tokens, equal tokens, -start) of every stretch of every ungapped alignment that is long and equal enough."""
     d, t = doc.lower().split(), item.lower().split()
+    # no stretch has fewer equal tokens than this, nor an alignment more than tokens that the item has
+    fewest = max(1, min(least, len(t)) * round(100 * share) / 100)
+    known = set(t)
+    if sum(x in known for x in d) < fewest:
+        return
     for shift in range(-len(t) + 1, len(d)):
         low, high = max(0, shift), min(len(d), shift + len(t))
         if high - low < min(least, len(t)):
             continue
         same = [d[i] == t[i - shift] for i in range(low, high)]
-        if not any(same):
+        if sum(same) < fewest:
             continue
         for i in range(len(same)):
             equal = 0

@@ -8,7 +8,6 @@ and outgoing links) and a conversion record (its plain text), both of which refe
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import io
 import re
@@ -51,29 +50,75 @@ def write_record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return "\r\n".join(["WARC/1.1", *lines, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
-def read_records(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
-    """Headers and block of each record; gzip members are opened. Raises ValueError where a record is broken."""
-    stream = io.BytesIO(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
+def opened(data: bytes, *, strict: bool = True) -> bytes:
+    """The data of all gzip members, or the data itself. Not ``strict``: what comes before a broken place."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(zlib.MAX_WBITS | 16)
+        try:
+            out.append(member.decompress(data))
+            if not member.eof:
+                raise zlib.error("a member is cut off")
+        except zlib.error as problem:
+            if strict:
+                raise ValueError(str(problem)) from problem
+            break
+        data = member.unused_data
+    return b"".join(out)
+
+
+def _next_record(stream: io.BytesIO) -> tuple[list[tuple[str, str]], bytes] | None:
     while line := stream.readline():
-        if not line.strip():
+        if line.strip():
+            break
+    if not line:
+        return None
+    if not line.startswith(b"WARC/"):
+        raise ValueError(f"no record starts with {line[:40]!r}")
+    headers: list[tuple[str, str]] = []
+    while (line := stream.readline()).strip():
+        if line.startswith(b"WARC/"):
+            raise ValueError("a record's headers don't end")
+        text = line.decode("utf-8", "replace").rstrip("\r\n")
+        if text[0] in " \t" and headers:
+            headers[-1] = headers[-1][0], f"{headers[-1][1]} {text.strip()}"
+        else:
+            name, _, value = text.partition(":")
+            headers.append((name.strip(), value.strip()))
+    length = next((v for k, v in headers if k.lower() == "content-length"), "")
+    if not length.isdecimal() or len(length) > 18:
+        raise ValueError("a record has no length")
+    block = stream.read(int(length))
+    if len(block) < int(length):
+        raise ValueError("a record is cut off")
+    at = stream.tell()
+    if stream.read(1).strip():
+        raise ValueError("a record goes on after its length")
+    stream.seek(at)
+    return headers, block
+
+
+def read_records(data: bytes, *, strict: bool = True) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """Headers and block of each record; gzip members are opened. Where a record is broken, ``strict`` raises
+    ValueError, else reading goes on with the next line that starts a record."""
+    data = opened(data, strict=strict)
+    stream = io.BytesIO(data)
+    while True:
+        start = stream.tell()
+        try:
+            record = _next_record(stream)
+        except ValueError:
+            if strict:
+                raise
+            if (at := data.find(b"\nWARC/", start + 4)) < 0:  # blank lines may come before the broken one
+                return
+            stream.seek(at + 1)
             continue
-        if not line.startswith(b"WARC/"):
-            raise ValueError(f"no record starts with {line[:40]!r}")
-        headers: list[tuple[str, str]] = []
-        while (line := stream.readline()).strip():
-            text = line.decode("utf-8", "replace").rstrip("\r\n")
-            if text[0] in " \t" and headers:
-                headers[-1] = headers[-1][0], f"{headers[-1][1]} {text.strip()}"
-            else:
-                name, _, value = text.partition(":")
-                headers.append((name.strip(), value.strip()))
-        length = next((v for k, v in headers if k.lower() == "content-length"), "")
-        if not length.isdigit():
-            raise ValueError("a record has no length")
-        block = stream.read(int(length))
-        if len(block) < int(length):
-            raise ValueError("a record is cut off")
-        yield headers, block
+        if record is None:
+            return
+        yield record
 
 
 def http_message(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
@@ -199,8 +244,8 @@ def derive(records: DataFrame, keys: list[str], *, record: str = "record") -> Da
     """``keys``, then the columns of ``DERIVED``: two rows for each response among the WARC data in ``record``.
 
     ``payload_digest`` is the source's, in both rows. Records of other types give nothing, nor do
-    null or empty data; a cell may hold any number of records, gzipped or not, and a broken record
-    ends its cell. Repeated rows each count; other columns are ignored.
+    null or empty data; a cell may hold any number of records, gzipped or not; a broken record is left out, and
+    reading goes on with the next. Repeated rows each count; other columns are ignored.
     """
     source = records.select(*(F.col(k) for k in keys), F.col(record).alias("__record"))
     types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1])
@@ -213,14 +258,11 @@ def derive(records: DataFrame, keys: list[str], *, record: str = "record") -> Da
                 batch = whole.slice(at, 128)
                 rows, found = [], []
                 for i, data in enumerate(batch.column(len(keys)).to_pylist()):
-                    try:
-                        for headers, block in read_records(data or b""):
-                            if any(k.lower() == "warc-type" and v == "response" for k, v in headers):
-                                for x in derived_records(headers, block):
-                                    rows.append(i)
-                                    found.append(x)
-                    except (ValueError, EOFError, OSError, zlib.error):
-                        continue
+                    for headers, block in read_records(data or b"", strict=False):
+                        if any(k.lower() == "warc-type" and v == "response" for k, v in headers):
+                            for x in derived_records(headers, block):
+                                rows.append(i)
+                                found.append(x)
                 if rows:
                     names = list(found[0])
                     yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(rows)) for i in range(len(keys))), *(pa.array([x[n] for x in found], kinds.get(n, pa.string())) for n in names)], names=[*keys, *names])

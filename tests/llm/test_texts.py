@@ -254,6 +254,20 @@ def test_records_round_trip():
         list(warc.read_records(data[:-20]))
 
 
+def test_reading_goes_on_after_broken_records():
+    one, two, three = (warc.write_record([("WARC-Type", "response"), ("N", n)], f"block {n}".encode()) for n in "123")
+    names = lambda data: [dict(h)["N"] for h, _ in warc.read_records(data, strict=False)]
+    assert names(one + two + three) == ["1", "2", "3"]
+    for broken in (b"junk\r\n", b"WARC/1.1\r\nN: 2\r\n\r\n", two.replace(b"Length: 7", b"Length: 70"), two.replace(b"Length: 7", b"Length: 3"), two.replace(b"Length: 7", b"Length: x"), two[:20] + b"\r\n", two.replace(b"Length: 7", b"Length: " + b"9" * 5000)):
+        assert names(one + broken + three) == ["1", "3"], broken
+        with pytest.raises(ValueError):
+            list(warc.read_records(one + broken + three))
+    packed = gzip.compress(one) + gzip.compress(two)
+    assert names(packed) == ["1", "2"] and names(packed[:-9]) == ["1", "2"] and names(gzip.compress(one) + b"\x1f\x8bjunk") == ["1"]
+    began = time.perf_counter()
+    assert names(b"WARC/1.1\r\n" * 300_000) == [] and time.perf_counter() - began < 20
+
+
 def test_derivatives_refer_to_their_response(spark):
     pages = spark.createDataFrame([(1, "http://a/", "<title>T</title><p>One<br>two &amp; <a href='/x'>link</a></p><script>no</script>"), (2, None, None), (2, None, None), (None, "u", "")], "page_id long, url string, html string")
     responses = warc.responses(pages, "page_id")

@@ -105,6 +105,50 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+#: A text's lower-cased words, for DuckDB.
+_WORDS = r"list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+
+def jaccard_sql(width: int, num: int, den: int) -> str:
+    """The components for DuckDB: intersections counted shingle by shingle, and all that links reach."""
+    return f"""
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {width} THEN list_transform(range(len(w) - {width - 1}), lambda k: array_to_string(w[k + 1 : k + {width}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM pairs JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE {den} * common >= {num} * (x.n + y.n - common)),
+        ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reached(doc_id, seen) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, w.b FROM reached r JOIN ways w ON r.seen = w.a)
+        SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(seen) AS component_id FROM reached LEFT JOIN n USING (doc_id) GROUP BY doc_id"""
+
+
+def decontamination_sql() -> str:
+    """The overlaps for DuckDB: seeds as strings, and every stretch of every alignment that is hit."""
+
+    def seeds(table: str) -> str:
+        parts = []
+        for number, mask in enumerate(decontamination.MASKS):
+            key = " || ' ' || ".join(f"w[p + {i + 1}]" for i, c in enumerate(mask) if c == "1")
+            parts.append(f"SELECT id, {number} AS mask, p, {key} AS key FROM (SELECT id, w, unnest(range(len(w) - {len(mask) - 1})) AS p FROM {table})")
+        return " UNION ALL ".join(parts)
+
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS id, doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+        i AS (SELECT row_number() OVER () AS id, item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+        ds AS ({seeds('d')}), i_s AS ({seeds('i')}),
+        hits AS (SELECT ds.id AS d, i_s.id AS i, ds.p - i_s.p AS shift, count(*) AS n FROM ds JOIN i_s ON ds.mask = i_s.mask AND ds.key = i_s.key GROUP BY ALL),
+        places AS (
+          SELECT h.d, h.i, shift, d.w AS dw, i.w AS iw, least({decontamination.MIN_TOKENS}, len(i.w)) AS fewest, unnest(range(greatest(0, shift), least(len(d.w), shift + len(i.w)))) AS pos
+          FROM hits h JOIN d ON h.d = d.id JOIN i ON h.i = i.id),
+        sums AS (SELECT d, i, shift, fewest, pos, sum(CAST(dw[pos + 1] = iw[pos - shift + 1] AS INTEGER)) OVER (PARTITION BY d, i, shift ORDER BY pos) AS upto, CAST(dw[pos + 1] = iw[pos - shift + 1] AS INTEGER) AS same FROM places),
+        stretches AS (
+          SELECT a.d, a.i, b.pos - a.pos + 1 AS tokens, b.upto - a.upto + a.same AS equal, a.pos AS start FROM sums a JOIN sums b ON a.d = b.d AND a.i = b.i AND a.shift = b.shift AND b.pos - a.pos + 1 >= a.fewest
+          WHERE (b.upto - a.upto + a.same) * 100 >= {round(100 * decontamination.MIN_SHARE)} * (b.pos - a.pos + 1)),
+        best AS (SELECT d, i, max((tokens, equal, -start)) AS x FROM stretches GROUP BY d, i)
+        SELECT d.doc_id, i.item_id, CAST(n AS INTEGER) AS n_hits, CAST(-x[3] AS INTEGER) AS overlap_start, CAST(x[1] AS INTEGER) AS overlap_tokens, CAST(x[2] AS INTEGER) AS equal_tokens
+        FROM best JOIN (SELECT d, i, sum(n) AS n FROM hits GROUP BY d, i) h ON best.d = h.d AND best.i = h.i JOIN d ON best.d = d.id JOIN i ON best.i = i.id"""
+
+
 def held_out(key) -> F.Column:
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(5)) == 0
 
@@ -130,6 +174,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 SQL: dict[str, str] = {
     "op6_source_mixing": mixing_sql(),
     "op5_secret_scan": secret_scan.duckdb_sql(),
+    "op2_jaccard_join": jaccard_sql(4, 85, 100),
+    "op9_decontamination": decontamination_sql(),
     "op8_line_dedup": r"""
         WITH lines AS (
           SELECT doc_id, line - 1 AS line, raw,

@@ -405,3 +405,25 @@ def project_run(spark, sf_dir):
     told = report.console_report(result)
     rows = [(r.rule_key, r.message, r.file.removeprefix(base + "/"), r.line, r.layer, result.exit_code) for r in result.violations if f"[{r.rule_key}]" in told and f"{r.file}:{r.line}" in told]
     return spark.createDataFrame(rows, "rule_key string, message string, file string, line int, layer string, exit_code int")
+
+
+_MVC = r"""m AS (SELECT *, CASE kn % 4 WHEN 0 THEN 'controller' WHEN 1 THEN 'model' WHEN 2 THEN 'view' ELSE 'service' END AS l,
+    'App\' || CASE kn % 4 WHEN 0 THEN 'Controllers' WHEN 1 THEN 'Model' WHEN 2 THEN 'Views' ELSE 'Service' END || '\' || CASE WHEN kn % 4 = 1 AND sn % 2 = 0 THEN 'Model' ELSE 'X' END || k
+    || CASE WHEN sn % 2 = 1 THEN '' WHEN kn % 4 = 0 THEN 'Controller' WHEN kn % 4 = 3 THEN 'Service' ELSE '' END AS c FROM p)"""
+
+
+@query(rf"""WITH {_P}, {_MVC}
+  SELECT 'mvc.controller.name_must_end_with_controller' AS rule_key, c AS class_name FROM m WHERE l = 'controller' AND sn % 2 = 1 UNION ALL SELECT 'mvc.' || l || '.must_be_final', c FROM m WHERE l IN ('controller', 'service') AND sn % 2 = 0
+  UNION ALL SELECT 'mvc.' || l || '.no_pdo', c FROM m WHERE l IN ('controller', 'view') AND sn % 5 = 0 UNION ALL SELECT 'mvc.' || l || '.no_superglobals', c FROM m WHERE sn % 3 = 0 UNION ALL SELECT 'mvc.' || l || '.no_echo', c FROM m WHERE l IN ('model', 'service') AND sn % 7 = 0
+  UNION ALL SELECT 'mvc.' || l || '.no_header', c FROM m WHERE l <> 'controller' AND sn % 4 = 3 UNION ALL SELECT 'mvc.' || l || '.must_have_return_types', c FROM m WHERE l <> 'view' AND sn % 5 = 1 UNION ALL SELECT 'mvc.model.name_must_not_start_with_model', c FROM m WHERE l = 'model' AND sn % 2 = 0
+  UNION ALL SELECT 'mvc.safety.' || l || '_no_var_export', c FROM m WHERE sn % 11 = 0 UNION ALL SELECT 'mvc.view.max_complexity', c FROM m WHERE l = 'view' AND sn % 6 = 0 UNION ALL SELECT 'mvc.layer.' || l || '_not_depend_controller', c FROM m WHERE l IN ('model', 'view') AND kn % 13 < 2
+  UNION ALL SELECT 'mvc.controller.no_doctrine_orm', c FROM m WHERE l = 'controller' AND sn % 9 = 0 UNION ALL SELECT 'mvc.controller.max_dependencies', c FROM m WHERE l = 'controller' AND sn > 40""")
+def mvc_findings(spark, sf_dir):
+    place = F.expr("CASE kn % 4 WHEN 0 THEN 'Controllers' WHEN 1 THEN 'Model' WHEN 2 THEN 'Views' ELSE 'Service' END")
+    suffix = F.expr("CASE WHEN sn % 2 = 1 THEN '' WHEN kn % 4 = 0 THEN 'Controller' WHEN kn % 4 = 3 THEN 'Service' ELSE '' END")
+    code = _text("<?php namespace App\\<place>; <orm>class <prefix><k><suffix> { public function __construct($a<more>) {} public function m($a)<type> { <pdo> <get> <echo> <header> <export> <ifs> <known> } }", place=place, suffix=suffix,
+                 prefix=F.expr("CASE WHEN kn % 4 = 1 AND sn % 2 = 0 THEN 'Model' ELSE 'X' END"), orm=_when("sn % 9 = 0 AND kn % 4 = 0", "use Doctrine\\ORM\\EntityManager; "), more=_when("sn > 40", ", $b, $c, $d, $e, $f"), type=_when("sn % 5 <> 1", ": int"),
+                 pdo=_when("sn % 5 = 0", "new \\PDO('x');"), get=_when("sn % 3 = 0", "$b = $_GET['b'];"), echo=_when("sn % 7 = 0", "echo 1;"), header=_when("sn % 4 = 3", "header('x');"), export=_when("sn % 11 = 0", "var_export($a);"),
+                 ifs=_when("sn % 6 = 0", "if ($a) { } if ($a) { } if ($a) { }"), known=_when("kn % 13 < 2", "\\App\\Controllers\\KnownController::go();"))
+    known = spark.createDataFrame([("src/Known.php", bytearray(b"<?php namespace App\\Controllers; final class KnownController {}"))], "file string, content binary")
+    return analysis.violations(Architecture().with_preset(presets.Mvc()), Facts(**extract(_sources(spark, sf_dir, code).unionByName(known)))).select("rule_key", "class_name")

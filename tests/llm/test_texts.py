@@ -350,8 +350,8 @@ def test_rows_of_numbers_stay(spark):
     assert out == {i: t if i == 0 else t.rsplit("\n", 1)[0] for i, t in docs}
 
 
-def brute_lines(rows, min_docs):
-    """What is left of each row's text: tokens by place and leaf, then templates, all by plain loops."""
+def brute_templates(rows, min_docs):
+    """The lines (row, line) of each template: tokens by place and leaf, then templates, all by plain loops."""
     tokens, places, templates = {}, {}, {}
     for r, (d, t) in enumerate(rows):
         for n, line in enumerate(t.split("\n") if t is not None else []):
@@ -364,8 +364,13 @@ def brute_lines(rows, min_docs):
         fixed = tuple((i, x) for i, x in enumerate(own) if len(places[leaf, i, x]) >= min_docs)
         if 100 * sum(x != "<*>" for _, x in fixed) >= 80 * len(own):
             templates.setdefault((leaf, fixed), []).append((r, n))
+    return templates
+
+
+def brute_lines(rows, min_docs):
+    """What is left of each row's text."""
     gone = set()
-    for at in templates.values():
+    for at in brute_templates(rows, min_docs).values():
         if len({rows[r][0] for r, _ in at}) >= min_docs:
             first = min(at, key=lambda x: (rows[x[0]][0] is not None, rows[x[0]][0] or 0, x[1]))
             gone |= {(r, n) for r, n in at if (rows[r], n) != (rows[first[0]], first[1])}
@@ -389,6 +394,7 @@ def test_leaves_joined_by_shuffle(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"page {i} of the printed edition was made\nown {'abcdefghijkl'[i]} words in a line") for i in range(12)], "doc_id long, text string")
     want = sorted(rows(line_dedup.drop_recurring_lines(docs)))
     monkeypatch.setattr(line_dedup, "BROADCAST_LEAVES", 0)
+    monkeypatch.setattr(line_dedup, "BROADCAST_CONSTANTS", 0)
     assert sorted(rows(line_dedup.drop_recurring_lines(docs))) == want and sum(r[3] for r in want) == 11
 
 
@@ -453,6 +459,52 @@ def test_versions_equal_brute_force(spark):
     assert got == want and 10 < len(want) < len(texts) - 10
 
 
+def brute_lines_of_versions(texts, min_docs, long_docs, short_docs):
+    """What is left of each text by templates, passages and short lines, with regard to versions."""
+    ids = sorted(texts)
+    rows_ = [(d, texts[d]) for d in ids]
+    group = brute_versions(texts)
+    found = [([(ids[r], n) for r, n in at], min_docs, False) for at in brute_templates(rows_, min_docs).values()]
+    exact = {}
+    for d in ids:
+        for n, line in enumerate(texts[d].split("\n")):
+            line = line.strip(" \t\x0b\x0c\r")
+            size = len(line.split())
+            if size >= 50 or size < 5 and any(c.isalpha() for c in line):
+                exact.setdefault((line, size >= 50), []).append((d, n))
+    found += [(at, long_docs if long else short_docs, long) for (_, long), at in exact.items()]
+    gone = set()
+    for at, least, long in found:
+        docs = {d for d, _ in at}
+        if (min(len({group.get(d, d) for d in docs}), len(docs)) if long else len(docs)) < least:
+            continue
+        _, first, line = min((d in group, d, n) for d, n in at)
+        for d, n in at:
+            stays = n == line if d == first and not long else group.get(d, d) == group.get(first, first)
+            gone |= set() if stays else {(d, n)}
+    return {d: "\n".join(x for n, x in enumerate(texts[d].split("\n")) if (d, n) not in gone) for d in ids}
+
+
+def test_lines_of_versions_equal_brute_force(spark):
+    r = random.Random(21)
+    words = lambda n: " ".join("".join(r.choices("abcdefghij", k=r.randint(3, 9))) for _ in range(n))
+    passages, short, texts = [words(55) for _ in range(6)], ["All rights reserved.", "Read more", "12 7", "Share this"], {}
+    for _ in range(18):
+        base = [words(r.randint(20, 60)) for _ in range(r.randint(1, 4))] + r.sample(passages, r.randint(0, 2)) + r.sample(short, r.randint(0, 2))
+        base += [f"page {{}} of the {w} edition was printed" for w in r.sample(["first", "second"], r.randint(0, 1))]
+        r.shuffle(base)
+        for _ in range(r.randint(1, 4)):
+            own = [x.format(r.randint(1, 99)) for x in base]
+            for _ in range(r.randint(0, 2)):
+                i = r.randrange(len(own))
+                own[i] = r.choice([own[i].replace("a", "z", 2), own[i] + " " + words(2)])
+            texts[len(texts) * 7 % 101] = "\n".join(own)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = {x.doc_id: x.text for x in line_dedup.drop_recurring_lines(df, min_docs=4, long_docs=2, short_docs=5).collect()}
+    want = brute_lines_of_versions(texts, 4, 2, 5)
+    assert out == want and sum(out[d] != texts[d] for d in texts) > 10
+
+
 # --- 9: benchmark ---
 
 

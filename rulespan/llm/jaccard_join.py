@@ -396,12 +396,13 @@ def _linked_in_blocks(members: DataFrame, near: Callable, links: Callable) -> Da
 
     def meet(block: pa.Table, chosen: pa.Table) -> pa.Table:
         ids, partners = block.column("sid").to_pylist(), near(*held(block))
-        out = [(p, ids[i]) for p, size, own in zip(chosen.column("o_sid").to_pylist(), *held(chosen, "o_"), strict=True) for i in partners(int(size), own)] if ids else []
-        region = block.column("region")[0].as_py() if ids else 0
-        return pa.table([pa.array([region] * len(out), pa.int64()), *(pa.array([x[k] for x in out], pa.int64()) for k in (0, 1))], names=["region", "a", "b"])
+        both = list(dict.fromkeys(ids + chosen.column("o_sid").to_pylist()))  # a pivot is a member of one block
+        place = {sid: i for i, sid in enumerate(both)}
+        # a member names one other, however many pivots it is linked with
+        return stars(both, [(place[p], i) for p, size, own in zip(chosen.column("o_sid").to_pylist(), *held(chosen, "o_"), strict=True) for i in partners(int(size), own)] if ids else [])
 
-    met = cut(members.groupBy("region", "block").cogroup(other(everywhere(pivots)).groupBy("o_region", "o_block")).applyInArrow(meet, "region long, a long, b long"))
-    labels = components(met.select("a", "b"))
+    met = cut(members.groupBy("region", "block").cogroup(other(everywhere(pivots)).groupBy("o_region", "o_block")).applyInArrow(meet, "a long, b long"))
+    labels = components(met)
     # in each region the component with most members is settled; the others' members and the unlinked ones meet all
     known = members.select("region", "sid").join(labels.withColumnRenamed("node", "sid"), "sid", "left")
     size = known.where("root is not null").groupBy("region", "root").agg(F.count("*").alias("size"))
@@ -418,7 +419,7 @@ def _linked_in_blocks(members: DataFrame, near: Callable, links: Callable) -> Da
     against = everywhere(members.withColumn("other", F.col("block"))).select("region", F.col("block").alias("own"), F.col("other").alias("block"), "sid", "size", "packed")
     against = against.join(loose.select("region", "own").distinct(), ["region", "own"], "left_semi").repartition("region", "own", "block")
     found = spread.cogroup(other(against).groupBy("o_region", "o_own", "o_block")).applyInArrow(cross, "a long, b long")
-    return met.select("a", "b").unionByName(found)
+    return met.unionByName(found)
 
 
 def _unpacked(contents: list[bytes], kind: type) -> list[np.ndarray]:
@@ -482,7 +483,8 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, num: int = 80, den: i
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     texts = docs.where("text is not null")
     described = cut(_described(docs, width))
-    buckets = max(shuffle_partitions(docs.sparkSession), -(-estimated_bytes(docs) // BUCKET_TEXT))
+    size = estimated_bytes(docs) or int(texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    buckets = max(shuffle_partitions(docs.sparkSession), -(-size // BUCKET_TEXT))
     regions = cut(_regions(texts, width, num, den, buckets).groupBy("pivot", "member").agg(F.first(F.lit(1)).alias("one")).select(F.col("pivot").alias("region"), F.col("member").alias("sid")))
 
     sets = described.where("n > 0").groupBy("sid").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"))

@@ -29,8 +29,8 @@ LONG_TOKENS, LONG_DOCS, SHORT_DOCS = 50, 2, 50
 #: Documents are compared if they share a line of so many tokens. They are versions of each other if lines that
 #: both have hold so large a share of their characters, or so large a share of the other lines' shingles is common.
 VERSION_TOKENS, SAME_SHARE, REST_SHARE, REST_WIDTH = 20, 0.8, 0.2, 3
-#: Up to so many leaves (16 bytes each) are sent to all tasks; more are joined by a shuffle.
-BROADCAST_LEAVES = 100_000
+#: Up to so many leaves (16 bytes each) and constants (some 100 bytes each) are sent to all tasks; more are joined by a shuffle.
+BROADCAST_LEAVES, BROADCAST_CONSTANTS = 100_000, 200_000
 
 #: A token with a digit. Only a token's start is tried, so long tokens take linear time.
 _VARIABLE = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
@@ -164,9 +164,10 @@ def recurring_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     tokens = lines.select(*_ROW, "__line", "__leaf", F.size("__tokens").alias("__size"), F.posexplode("__tokens").alias("__place", "__token"))
     place = ["__leaf", "__place", "__token"]
     constants = tokens.groupBy(*place, "__doc").agg(F.first(F.lit(1)).alias("__one")).groupBy(*place).agg(F.count("*").alias("__docs"))
-    constants = constants.where(F.col("__docs") >= min_docs).select(*place)
+    constants = cut(constants.where(F.col("__docs") >= min_docs).select(*place))
+    few = constants.limit(BROADCAST_CONSTANTS + 1).count() <= BROADCAST_CONSTANTS
     # inner: a line's wildcards are gone, its constants make the template
-    fixed = tokens.join(constants, place)
+    fixed = tokens.join(F.broadcast(constants) if few else constants, place)
     made = fixed.groupBy(*_ROW, "__line", "__leaf", "__size").agg(F.sort_array(F.collect_set(F.struct("__place", "__token"))).alias("__fixed"))
     # variable fields are part of the template, but lines of nothing else (rows of numbers) are no template's
     literals = F.size(F.filter("__fixed", lambda x: x["__token"] != "<*>"))

@@ -232,7 +232,8 @@ def psr4_namespace(spark, sf_dir):
   UNION ALL SELECT 'ddd.layer.domain_not_depend_application', c FROM d WHERE kn % 13 = 0 UNION ALL SELECT 'ddd.safety.domain_max_method_length', c FROM d WHERE sn > 20""")
 def ddd_findings(spark, sf_dir):
     suffix = F.expr("CASE kn % 3 WHEN 0 THEN 'Entity' WHEN 1 THEN 'Repository' ELSE 'Event' END")
-    code = _text("<?php namespace Domain; <final>class X<k><suffix> <json>{ public function m($a)<type> { <dump> <die> <ifs> <app>\n<body> } }", suffix=suffix, final=_when("sn % 2 = 1", "final "), json=_when("kn % 11 = 0", "implements \\JsonSerializable "),
+    # all statements start on the body's first line, so that a method's length is sn whatever comes before the body
+    code = _text("<?php namespace Domain; <final>class X<k><suffix> <json>{ public function m($a)<type> { <dump> <die> <ifs> <app> <body> } }", suffix=suffix, final=_when("sn % 2 = 1", "final "), json=_when("kn % 11 = 0", "implements \\JsonSerializable "),
                  type=_when("sn % 5 <> 0", ": int"), dump=_when("sn % 7 = 0", "dump(new \\DateTime);"), die=_when("sn % 11 = 0", "die;"), ifs=_when("sn % 13 = 0", "if ($a && $a && $a && $a && $a) { }"), app=_when("kn % 13 = 0", "\\Application\\Run::go();"),
                  body=F.expr("repeat('$a;\\n', CAST(sn AS INT))"))
     files = _sources(spark, sf_dir, code).select(F.concat(F.lit("src/Domain/"), F.substring_index("file", "/", -1)).alias("file"), "content")

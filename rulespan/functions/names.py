@@ -50,9 +50,16 @@ def uses_namespace(items: Column | str, namespace: str) -> Column:
     return F.coalesce(F.exists(col(items), lambda x: x.startswith(prefix)), F.lit(False))
 
 
+#: A store's name and host; one letter is a drive.
+_STORE = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]+:(?://[^/]+)?(?=/)")
+
+
 def normalise(path: str) -> str:
-    """Forward slashes, no doubled ones (but a leading pair), no leading ``./`` or trailing slash."""
+    """Forward slashes, no doubled ones (but a leading pair), no leading ``./`` or trailing slash. A store's name and
+    host stay as they are."""
     path = path.replace("\\", "/")
+    if store := _STORE.match(path):
+        return f"{store[0]}/{re.sub('/+', '/', path[store.end() :]).strip('/')}"
     head = "//" if path.startswith("//") else ""
     path = re.sub("/+", "/", path[len(head):] if head else path)
     while path.startswith("./"):
@@ -61,17 +68,23 @@ def normalise(path: str) -> str:
     return head + path.lstrip("/") if head else path
 
 
+def told(path: str) -> str:
+    """``normalise``, and without a store's name where that is the local one: how files of a scan are named."""
+    return re.sub("^file:/+", "/", normalise(path))
+
+
 def normalised(c: Column | str) -> Column:
     """``normalise`` of a column."""
     slashed = F.translate(col(c), "\\", "/")
     unc = slashed.startswith("//")
-    body = F.regexp_replace(F.regexp_replace(slashed, "/+", "/"), r"^(\./)+", "")
+    store = F.regexp_extract(slashed, _STORE.pattern, 0)
+    body = F.regexp_replace(F.regexp_replace(F.substr(slashed, F.length(store) + 1), "/+", "/"), r"^(\./)+", "")
     body = F.when(body == "/", body).otherwise(F.regexp_replace(body, "/$", ""))
-    return F.when(unc, F.concat(F.lit("/"), body)).otherwise(body)
+    return F.when(unc, F.concat(F.lit("/"), body)).otherwise(F.concat(store, body))
 
 
 def is_absolute(path: str) -> bool:
-    return path.startswith(("/", "\\")) or bool(re.match(r"[A-Za-z]:[\\/]", path))
+    return path.startswith(("/", "\\")) or bool(re.match(r"[A-Za-z]:[\\/]", path) or _STORE.match(path))
 
 
 def resolve(path: str, base: str) -> str:

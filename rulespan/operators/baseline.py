@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulespan import schemas
-from rulespan.functions.names import normalise
+from rulespan.functions.names import told
 
 _PAIRS = (("rule_key", "rule"), ("message", "message"), ("file", "file"), ("class_name", "class"), ("layer", "layer"))
 
@@ -20,14 +20,14 @@ def _relative(text: Column, base: str) -> Column:
 
 def signatures(violations: DataFrame, base_path: str = "") -> DataFrame:
     """(rule, message, file, class, layer) of violations, paths relative to the base, each once."""
-    base = normalise(base_path) if base_path else ""
+    base = told(base_path) if base_path else ""
     file = F.when(F.col("file").startswith(base + "/"), F.substr("file", F.lit(len(base) + 2))).otherwise(F.col("file")) if base else F.col("file")
     return violations.select(F.col("rule_key").alias("rule"), _relative(F.col("message"), base).alias("message"), file.alias("file"), F.col("class_name").alias("class"), "layer").distinct()
 
 
 def without_accepted(violations: DataFrame, baseline: DataFrame, base_path: str = "") -> DataFrame:
     """Violations with no equal signature in the baseline; one entry silences all that are equal."""
-    base = normalise(base_path) if base_path else ""
+    base = told(base_path) if base_path else ""
     file = F.when(F.col("file").startswith(base + "/"), F.substr("file", F.lit(len(base) + 2))).otherwise(F.col("file")) if base else F.col("file")
     left = violations.withColumns({"__message": _relative(F.col("message"), base), "__file": file})
     right = baseline.select(*(F.col(b).alias(f"b_{b}") for _, b in _PAIRS)).distinct()

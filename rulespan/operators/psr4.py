@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulespan.functions.names import normalise, normalised
+from rulespan.functions.names import normalised, told
 from rulespan.operators.layers import ancestors
 
 
@@ -19,7 +19,7 @@ def mapped_paths(psr4: DataFrame) -> DataFrame:
 def expected_names(rows: DataFrame, psr4: DataFrame, base_path: str, *, file: str = "file") -> DataFrame:
     """``rows`` with ``candidates``: the names that the mapping allows for each file, that of the longest
     mapped folder first. A file is found by its ancestor folders, so the join is by equality."""
-    base = normalise(base_path)
+    base = told(base_path)
     root = F.concat(F.lit(base + "/" if base else ""), F.col("folder"))
     folders = psr4.select("namespace", normalised(F.trim("path")).alias("folder"), "ordinal")
     folders = folders.select("namespace", "ordinal", F.when(F.col("folder").isin("", "."), F.lit(base)).otherwise(root).alias("__folder"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulespan import schemas
+from rulespan.functions.names import is_absolute, told
 from rulespan.operators import baseline as baselines
 from rulespan.operators import ruleset as rulesets
 from rulespan.operators.graph import inherited_dependencies, with_ancestors
@@ -28,10 +29,10 @@ def _empty(facts: Facts, ddl: str) -> DataFrame:
 def annotated(architecture: Architecture, facts: Facts) -> Facts:
     """``facts`` with layers, ancestors and the usage flags that active rules ask for."""
     mapped = [r.path for r in mapped_paths(facts.psr4).orderBy("ordinal").collect()] if facts.psr4 is not None else []
-    prefix = f"{facts.base_path.rstrip('/')}/" if facts.base_path else ""
+    prefix = f"{told(facts.base_path).rstrip('/')}/" if facts.base_path else ""
     layers = architecture.resolved_layers(mapped)
     if prefix:
-        layers = replace(layers, paths={k: [p if p.startswith("/") else prefix + p for p in v] for k, v in layers.paths.items()})
+        layers = replace(layers, paths={k: [told(p) if is_absolute(p) else prefix + p for p in v] for k, v in layers.paths.items()})
     nodes = with_defaults(facts.nodes)
     if layers.paths or layers.patterns:
         nodes = layers.assigned(nodes)

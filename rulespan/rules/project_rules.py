@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rulespan import schemas
 from rulespan.functions import predicates as P
-from rulespan.functions.names import any_of, below, normalise
+from rulespan.functions.names import any_of, below, told
 from rulespan.operators.psr4 import expected_names, mapped_paths
 from rulespan.rules.base import Facts, Rule, columns, report, said
 
@@ -27,7 +27,7 @@ class _MappingRule(Rule):
         return None if text is None else self.told(facts, facts.spark.range(1), F.lit(text))
 
     def told(self, facts: Facts, rows: DataFrame, message) -> DataFrame:
-        return report(rows, message, line=F.lit(1), file=F.lit(f"{facts.base_path.rstrip('/')}/composer.json"), class_name=F.lit(""), layer=F.lit("Source"), fixable=self.fixable)
+        return report(rows, message, line=F.lit(1), file=F.lit(f"{told(facts.base_path).rstrip('/')}/composer.json"), class_name=F.lit(""), layer=F.lit("Source"), fixable=self.fixable)
 
     def nothing(self, facts: Facts) -> DataFrame:
         return facts.spark.createDataFrame([], schemas.VIOLATIONS).select(*(c for c in columns() if c != "rule_key"))
@@ -78,8 +78,8 @@ class Psr4SourcePaths(_MappingRule):
             return out
         if self.paths is None:
             return self.nothing(facts)
-        base = normalise(facts.base_path)
-        wanted = [normalise(p.strip()) for p in self.paths]
+        base = told(facts.base_path)
+        wanted = [told(p.strip()) for p in self.paths]
         wanted = [p[len(base) + 1 :] if base and p.startswith(base + "/") else p for p in wanted]
         rows = facts.spark.createDataFrame([(i, p) for i, p in enumerate(wanted)], "ordinal int, path string").join(mapped_paths(facts.psr4).select("path"), "path", "left_anti")
         joined = rows.agg(F.sort_array(F.collect_list(F.struct("ordinal", "path"))).alias("all")).where(F.size("all") > 0)
@@ -109,7 +109,7 @@ class _FileRule(Rule):
     def told(self, facts: Facts, condition, template: str, line=None) -> DataFrame:
         rows = facts.analyses.where(condition)
         if self.paths is not None:
-            rows = rows.where(any_of(*(below("file", normalise(p)) for p in self.paths)))
+            rows = rows.where(any_of(*(below("file", told(p)) for p in self.paths)))
         return report(rows, said(template, F.col("file")), line=F.lit(1) if line is None else line, class_name=F.lit(""), layer=F.lit(None), fixable=self.fixable)
 
 

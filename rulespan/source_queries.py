@@ -58,7 +58,7 @@ def _list(name: str) -> Column:
 
 
 def _extracted(spark: SparkSession, sf_dir: str, table: str, code: Column) -> DataFrame:
-    return extract(_sources(spark, sf_dir, code))[table]
+    return extract(_sources(spark, sf_dir, code), only=[table])[table]
 
 
 # --- the extractor ---

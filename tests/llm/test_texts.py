@@ -669,6 +669,18 @@ def test_quality_odd_rows(spark):
     assert quality.score(docs.where("false"), model).count() == 0
 
 
+def test_scores_hold_few_texts_at_once(spark):
+    # 10,000 texts in an Arrow batch, and all columns back, cost the executor and its workers memory
+    texts = [None, b"", b"Some fine words, in a row.", b"caf\xe9 \xff, not UTF-8", "é".encode(), *(b"good words here. " * i + b"%%% " * (i % 7) for i in range(1, 300))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, raw binary").select("doc_id", F.col("raw").cast("string").alias("text"))
+    model = quality.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("label")))
+    out = quality.score(docs, model, ["doc_id", "text"]).where("score >= 0")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "InArrow" not in plan and "ArrowEvalPython" not in plan
+    got = {r.doc_id: r.score for r in out.select("doc_id", "score").collect()}
+    assert len(got) == len(texts) and np.allclose([got[i] for i in range(len(texts))], quality.scored(np.array([quality.statistics(t) for t in texts]), model), atol=1e-9)
+
+
 def test_labels_and_texts_that_repeat_an_id_count_once(spark):
     docs = spark.createDataFrame([(i, ("good words here. " if i % 2 else "%%% ### ") * (i % 9 + 1)) for i in range(200)], "doc_id long, text string")
     labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("label"))
